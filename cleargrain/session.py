@@ -38,9 +38,30 @@ def local_session(app: str = "cleargrain", cores: str | int = "*", **conf: str)
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return configure(spark)
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Runtime settings that the wide rule projections rely on.
+
+    The JVM does not compile methods above 8,000 bytes of bytecode, so a fused
+    stage beyond that runs interpreted. With the limit below, Spark evaluates
+    such a projection in separately compiled pieces instead.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 
+def widen(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a scan that yields fewer partitions than there are cores.
+
+    A file with one row group is one task. Large inputs are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for staged tables: the session's checkpoint folder.
 
