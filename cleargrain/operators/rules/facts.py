@@ -17,6 +17,7 @@ from cleargrain.operators.rules.families import IDS
 from cleargrain.operators.rules.table import RuleTable
 from cleargrain.session import stage
 
+MAPPING_LIMIT = 100_000  # entries of a catalogue given as a mapping that are still broadcast
 DETAIL = {"order_id": "total", "customer_id": "email"}
 
 
@@ -120,7 +121,11 @@ def attach_stats(df: DataFrame, base: DataFrame, t: RuleTable, scope: Sequence[s
 def attach_expected_category(df: DataFrame, t: RuleTable) -> DataFrame:
     """``__expected_category`` of a product by the catalogue."""
     catalogue = t.options.catalogue
+    keyed = df.withColumn("__product", F.lower(strip(t.raw("product"))))
     if isinstance(catalogue, Mapping):
-        catalogue = df.sparkSession.createDataFrame(list(catalogue.items()), "product string, category string")
+        # a mapping lives on the driver, so its size is known
+        rows = df.sparkSession.createDataFrame(list(catalogue.items()), "__product string, __expected_category string")
+        return keyed.join(F.broadcast(rows) if len(catalogue) <= MAPPING_LIMIT else rows, "__product", "left")
     names = catalogue.select(F.col("product").alias("__product"), F.col("category").alias("__expected_category"))
-    return df.withColumn("__product", F.lower(strip(t.raw("product")))).join(names, "__product", "left")
+    sizes = keyed.filter("__product is not null").groupBy("__product").agg(F.count(F.lit(1)).alias("__rows"))
+    return attach(keyed, names.join(sizes, "__product"), ["__product"], weight="__rows")
