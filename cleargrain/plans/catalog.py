@@ -1,7 +1,7 @@
 """All named queries and SQL counterparts."""
 
-from cleargrain.plans import repairs, rules
+from cleargrain.plans import files, learning, repairs, reports, rules
 
-_MODULES = [rules, repairs]
+_MODULES = [rules, repairs, reports, files, learning]
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
