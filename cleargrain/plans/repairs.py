@@ -86,7 +86,7 @@ def allocate_ids(spark, sf_dir):
 def _fill(column):
     def run(spark, sf_dir):
         rows = stage(X.numbered_sales(spark, sf_dir).select("row_id", column))
-        return ids.fill_ids(rows, column)
+        return ids.fill_ids(rows, [column])
 
     return run
 
@@ -95,7 +95,7 @@ def _dedupe(column):
     def run(spark, sf_dir):
         rows = stage(X.numbered_sales(spark, sf_dir).select("row_id", column))
         rows = rows.filter(F.col(column).isNotNull())
-        return ids.dedupe_ids(rows, column)
+        return ids.dedupe_ids(rows, [column])
 
     return run
 
