@@ -33,10 +33,12 @@ def attach(
     if not staged:
         facts = stage(facts, "facts")
     payload = [c for c in facts.columns if c not in on and c != weight]
-    if fits_broadcast(facts, limit):
-        return df.join(F.broadcast(facts.select(*on, *payload)), on, "left")
-    if weight is None:
-        return df.join(facts.select(*on, *payload), on, "left")
+    rows = [F.col(f"`{c}`") for c in df.columns]
+    small = fits_broadcast(facts, limit)
+    if small or weight is None:
+        side = facts.select(*on, *payload)
+        side = F.broadcast(side) if small else side
+        return df.join(side, on, "left").select(*rows, *payload)
 
     heavy = facts.orderBy(F.desc(weight), *on).limit(HEAVY_KEYS)
     heavy = heavy.select(*on, F.struct(*payload).alias("__heavy"))
@@ -49,4 +51,4 @@ def attach(
     light = facts.select(*on, F.lit(0).cast("bigint").alias("__salt"), F.struct(*payload).alias("__light"))
     joined = salted.join(light, on + ["__salt"], "left")
     found = F.coalesce("__heavy", "__light")
-    return joined.select(*df.columns, *[found[c].alias(c) for c in payload])
+    return joined.select(*rows, *[found[c].alias(c) for c in payload])

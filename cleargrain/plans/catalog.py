@@ -1,7 +1,22 @@
 """All named queries and SQL counterparts."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
 from cleargrain.plans import files, learning, repairs, reports, rules
+from cleargrain.session import configure
+
+
+def _configured(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(configure(spark), sf_dir)
+
+    return run
+
 
 _MODULES = [rules, repairs, reports, files, learning]
-QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+QUERIES = {name: _configured(query) for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
