@@ -11,7 +11,7 @@ from cleargrain.functions.coerce import clean_rules
 from cleargrain.operators import corrections, evaluate, forest, repair
 from cleargrain.operators.ensemble import ensemble_vote
 from cleargrain.operators.rules.table import RuleOptions
-from cleargrain.pipeline import run_pipeline
+from cleargrain.pipeline import load_trained, run_pipeline, train_on_files
 from cleargrain.sources import csv_files, sinks
 from cleargrain.streaming.watch import watch
 
@@ -164,6 +164,23 @@ def test_whole_run(spark, tmp_path):
     assert {"pipeline_start", "profiling", "cleaning", "validation", "processing_completed"} <= events
 
 
+def test_training_is_stored_and_used(spark, tmp_path):
+    head = "price,quantity,category,has_anomaly\n"
+    write(f"{tmp_path}/in/a.csv", head + "".join(f"{i},{i % 4},{'ab'[i % 2]},{i % 2 == 1}\n" for i in range(60)))
+    write(f"{tmp_path}/in/b.csv", "price,quantity,category,anomaly\n" + "".join(f"{i}.5,1,{'ba'[i % 2]},{(-1, 1)[i % 2]}\n" for i in range(60)))
+    assert load_trained(spark, f"{tmp_path}/model") is None
+    model, metadata = train_on_files(spark, f"{tmp_path}/in", f"{tmp_path}/model", numTrees=10, maxDepth=4)
+    row = metadata.first()
+    assert (row.training_rows, row.anomaly, row.normal) == (120, 60, 60) and row.training_accuracy > 0.9
+    again = load_trained(spark, f"{tmp_path}/model")
+    assert list(again.feature_names) == model.feature_names and set(again.codes) == {"category"}
+    write(f"{tmp_path}/new/c.csv", "order_id,price,quantity,category\n" + "".join(f"O{i},{i},0,{'ab'[i % 2]}\n" for i in range(20)))
+    run_pipeline(spark, f"{tmp_path}/new", f"{tmp_path}/out", OPTIONS, model=again, trees=5)
+    found = spark.read.parquet(f"{tmp_path}/out/anomaly_detection")
+    assert found.filter("ml_anomaly_score between 0 and 1").count() == 20
+    assert found.filter("anomaly_confidence >= 1").count() == 20
+
+
 def test_stream_takes_each_file_once_and_survives_a_bad_batch(spark, tmp_path):
     schema = "order_id string, product string, price string, quantity string, total string"
     seen = []
