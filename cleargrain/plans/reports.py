@@ -119,7 +119,7 @@ def features_score(spark, sf_dir):
 
 def features_enhanced(spark, sf_dir):
     rows = X.typed_sales(spark, sf_dir).drop("k")
-    out = FE.enhanced_features(rows, FE.training_features(rows)[0])
+    out = FE.enhanced_features(FE.training_features(rows)[0], rows.columns)
     return out.select(
         "row_id", "sale_id_is_missing", "product_is_missing", "date_is_missing", "store_is_missing", "city_is_missing",
         "suspicious_price", "suspicious_quantity", F.round("price_value_zscore", 6).alias("price_value_zscore"),
