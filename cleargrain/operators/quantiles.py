@@ -7,7 +7,6 @@ the order statistics are then read off the running counts of that table.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -105,8 +104,3 @@ def exact_quantiles(
         *[c for c in rest.columns if c != "__n"], *[F.col(f"__q.{n}").alias(n) for n in names]
     )
 
-
-def check_probability(p: float) -> float:
-    if not 0 <= p <= 1 or math.isnan(p):
-        raise ValueError(f"probability out of range: {p}")
-    return p

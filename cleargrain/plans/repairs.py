@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cleargrain.functions import standardize as S, vocabulary as V
 from cleargrain.functions.coerce import clean_rules, date_view, to_number
-from cleargrain.operators import corrections as C, ids, repair as R, scan
+from cleargrain.operators import corrections as C, ids, repair as R
 from cleargrain.plans import fixture as X
 from cleargrain.session import stage
 
@@ -295,7 +297,7 @@ def _dedupe_sql(column: str) -> str:
 
 def _rename(ctes: str, mark: str) -> str:
     for name in ("used", "asked", "points", "counted", "lead_of", "free", "given", "ranked", "fixed"):
-        ctes = __import__("re").sub(rf"\b{name}\b", f"{name}_{mark}", ctes)
+        ctes = re.sub(rf"\b{name}\b", f"{name}_{mark}", ctes)
     return ctes
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession, functions as F
 from cleargrain.functions import standardize as S
 from cleargrain.functions.coerce import clean_rules
 from cleargrain.functions.features import abs_zscore, date_trio, text_trio
-from cleargrain.operators import corrections as C, evaluate as E, features as FE, labels as L, profile as P, reports as R
+from cleargrain.operators import evaluate as E, features as FE, labels as L, profile as P, reports as R
 from cleargrain.operators.classify import add_score, flag_rows
 from cleargrain.operators.ensemble import ensemble_vote
 from cleargrain.operators.quantiles import one_row
