@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cleargrain.llm import digests, shards, tokens
+from cleargrain.llm import decontaminate, digests, shards, simhash, tokens, toxicity
 from cleargrain.llm.common import table
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
@@ -20,23 +20,56 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digests(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
 
+def op2_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
 def op4_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.exact_dedup_in_two(table(spark, sf_dir, "documents"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_blocks": op1_token_blocks,
+    "op2_prefix_join": op2_prefix_join,
     "op4_shard_table": op4_shard_table,
+    "op6_noisy_or": op6_noisy_or,
     "op9_digest_index": op9_digest_index,
+    "op10_simhash": op10_simhash,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
 ORACLES = {
+    "op2_prefix_join": f"""
+with d as (select row_number() over () as rid, cast(doc_id as bigint) as doc_id, {_WORDS} as w from documents),
+i as (select coalesce(cast(item_id as varchar), '') as item, {_WORDS} as w from benchmark),
+s as (select item, w, unnest(range(1, greatest(2, len(w) - 8))) as p from i where len(w) > 0),
+win as (select distinct item, list_slice(w, p, p + 9) as win from s),
+lens as (select distinct len(win) as n from win),
+starts as (select rid, w, n, unnest(range(1, len(w) - n + 2)) as p from d, lens where len(w) >= n),
+runs as (select rid, p, n, list_slice(w, p, p + n - 1) as win from starts),
+hits as (select rid, p, n, item from runs join win using (win)),
+covered as (select distinct rid, unnest(range(p, p + n)) as at from hits),
+n_hit as (select rid, count(*) as n_hit from covered group by rid),
+found as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct rid, item from hits) group by rid)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join n_hit using (rid) left join found using (rid)""",
     "op9_digest_index": f"""
 with d as (select cast(doc_id as bigint) as doc_id, {_LOWER} as norm from documents)
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept,
