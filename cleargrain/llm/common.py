@@ -51,3 +51,9 @@ def join_groups(rows: DataFrame, facts: DataFrame, key: str, size: str) -> DataF
     heavy = F.broadcast(facts.filter(large))
     few = rows.join(F.broadcast(facts.filter(large).select(key)), key, "left_anti")
     return rows.join(heavy, key).unionByName(few.join(facts.filter(~large), key))
+
+
+def softmax(scores: Column) -> Column:
+    """Probabilities of an array of scores."""
+    raised = F.transform(scores, lambda v: F.exp(v - F.array_max(scores)))
+    return F.transform(F.array(raised), lambda e: F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, x: a + x)))[0]

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cleargrain.llm import decontaminate, digests, shards, simhash, tokens, toxicity
+from cleargrain.llm import decontaminate, digests, licences, mixing, shards, simhash, tokens, toxicity
 from cleargrain.llm.common import table
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
+# Shares of the tokens that documents of each label domain are to have.
+MIXTURE = {"clean": 0.85, "low": 0.12, "toxic": 0.03}
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -24,10 +27,22 @@ def op2_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op4_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_soft_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domains = mixing.label_domains(table(spark, sf_dir, "labels"))
+    rated = mixing.mixture(table(spark, sf_dir, "documents"), domains, MIXTURE)
+    return rated.withColumn("row", F.explode(F.expr("sequence(1L, rows)"))).select(
+        "doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{name}") for i, name in enumerate(MIXTURE)], "rate", "copies"
+    )
+
+
 def op6_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -44,7 +59,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_blocks": op1_token_blocks,
     "op2_prefix_join": op2_prefix_join,
+    "op3_licence_scan": op3_licence_scan,
     "op4_shard_table": op4_shard_table,
+    "op5_soft_mixture": op5_soft_mixture,
     "op6_noisy_or": op6_noisy_or,
     "op9_digest_index": op9_digest_index,
     "op10_simhash": op10_simhash,
