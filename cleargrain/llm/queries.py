@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleargrain.llm import decontaminate, digests, licences, mixing, shards, simhash, suffixes, tokens, toxicity
+from cleargrain.llm import decontaminate, digests, licences, mixing, passages, shards, simhash, suffixes, tokens, toxicity
 from cleargrain.llm.common import table
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
@@ -48,6 +48,10 @@ def op6_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_passage_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), keep=False).drop("kept")
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op4_shard_table": op4_shard_table,
     "op5_soft_mixture": op5_soft_mixture,
     "op6_noisy_or": op6_noisy_or,
+    "op7_passage_chains": op7_passage_chains,
     "op8_suffix_array": op8_suffix_array,
     "op9_digest_index": op9_digest_index,
     "op10_simhash": op10_simhash,

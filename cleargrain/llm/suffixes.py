@@ -16,22 +16,20 @@ documents by itself. So what meets at one hash grows with the number of blocks,
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cleargrain.llm.blocks import Batches, by_bucket, byte_rows, dealt, grouped, joined, packed_rows, schema_of, texts_of, to_batch, window_minima
 from cleargrain.llm.common import partitions
 
 LENGTH = 50
 SEED = 16
 _WIDTH = LENGTH - SEED + 1  # seeds of a string
 _CHUNK = 1 << 22  # bytes that are hashed at a time
-_PLACE = np.uint64((1 << 24) - 1)
-_NO_ID = -(1 << 63)  # a null doc_id, smaller than any other
-Batches = Iterator[pa.RecordBatch]
 
 
 def _words(buffer: np.ndarray, at: np.ndarray | None = None, order: str = "<") -> np.ndarray:
@@ -56,12 +54,7 @@ def seed_runs(text: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
         h ^= h >> np.uint64(32)
         h *= np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(29)
-        least, span = (h & ~_PLACE) | np.arange(n, dtype=np.uint64), 1
-        while 2 * span <= _WIDTH:
-            least, span = np.minimum(least[:-span], least[span:]), 2 * span
-        if span < _WIDTH:
-            least = np.minimum(least[: len(least) - (_WIDTH - span)], least[_WIDTH - span :])
-        place = (least & _PLACE).astype(np.int64)
+        place = window_minima(h, _WIDTH)
         whole = owner[begin : begin + len(place)] == owner[begin + LENGTH - 1 : begin + LENGTH - 1 + len(place)]
         place[~whole] = -1
         first = np.flatnonzero(np.diff(place, prepend=-2))
@@ -144,69 +137,19 @@ def smallest_owner(text: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> n
     return out
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    import zstandard
-
-    unpack = zstandard.ZstdDecompressor()
-    return [unpack.decompress(x.as_py()) for x in batch.column("z")]
-
-
-def _compress(batches: Batches) -> Batches:
-    import zstandard
-
-    pack = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        z = pa.array([pack.compress(x.as_py()) for x in batch.column("text")], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k"), batch.column("text_key"), z], ["doc_id", "k", "text_key", "z"])
-
-
-def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, k (doc_id, or the smallest integer for null), text_key and text as bytes."""
-    text = F.coalesce("text", F.lit(""))
-    doc_id = F.col("doc_id").cast("bigint")
-    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(_NO_ID)).alias("k"), F.xxhash64(text).alias("text_key"), F.encode(text, "UTF-8").alias("text"))
-
-
-def _packed(docs: DataFrame) -> DataFrame:
-    """The rows with compressed texts, which is how texts are shuffled."""
-    return _rows(docs).mapInArrow(_compress, "doc_id bigint, k bigint, text_key bigint, z binary")
-
-
-def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One buffer, the document of each byte, and where each document starts."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    return np.frombuffer(b"".join(texts), np.uint8), np.repeat(np.arange(len(texts), dtype=np.int32), sizes), np.cumsum(sizes) - sizes
-
-
-def _batch(kinds: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
-    columns = [*zip(*rows)] or [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], list(kinds))
-
-
 _HASHES = {"bucket": pa.int32(), "ids": pa.binary(), "h": pa.binary(), "d": pa.binary()}
 _FLAGS = {"k": pa.int64(), "h": pa.binary()}
 _RUNS = {"bucket": pa.int32(), "ids": pa.binary(), "z": pa.binary(), "size": pa.binary(), "d": pa.binary(), "at": pa.binary()}
 _SPANS = {"k": pa.int64(), "text_key": pa.int64(), "spans": pa.binary()}
 
 
-def _schema(kinds: dict[str, pa.DataType]) -> str:
-    return ", ".join(f"{n} {({pa.int32(): 'int', pa.int64(): 'bigint'}).get(t, 'binary')}" for n, t in kinds.items())
-
-
-def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(bucket, kind="stable")
-    for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-        if len(own):
-            yield int(bucket[own[0]]), own
-
-
 def _send_hashes(buckets: int) -> Callable[[Batches], Batches]:
     """Blocks of minimiser hashes per bucket; what a batch itself finds in two documents goes to bucket -1 as decided."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             ids = np.array(batch.column("k").to_pylist(), np.int64)
-            text, owner, _ = _joined([x.as_py() for x in batch.column("text")])
+            text, owner, _ = joined([x.as_py() for x in batch.column("text")])
             h, at, _ = seed_runs(text, owner)
             # distinct (hash, document) pairs, the smallest doc_id of each hash first
             d = owner[at]
@@ -224,10 +167,10 @@ def _send_hashes(buckets: int) -> Callable[[Batches], Batches]:
             for decided, chosen in ((True, np.flatnonzero(met)), (False, np.flatnonzero(first))):
                 chosen = chosen[np.argsort(d[chosen], kind="stable")]
                 to = np.full(len(chosen), -1) if decided else (h[chosen] % np.uint64(buckets)).astype(np.int64)
-                for bucket, own in _by_bucket(to):
+                for bucket, own in by_bucket(to):
                     own_d, index = np.unique(d[chosen[own]], return_inverse=True)
                     rows.append((bucket, ids[own_d].tobytes(), (h[chosen[own]] >> np.uint64(32)).astype("<u4").tobytes(), index.astype("<u4").tobytes()))
-            yield _batch(_HASHES, rows)
+            yield to_batch(_HASHES, rows)
 
     return run
 
@@ -239,26 +182,12 @@ def _flag_rows(ids: np.ndarray, h: np.ndarray) -> list[tuple[int, bytes]]:
     return [(int(ids[a]), h[a:b].astype("<u4").tobytes()) for a, b in zip(cuts, cuts[1:])]
 
 
-def _grouped(batches: Batches, names: list[str]) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """Rows of each bucket, from batches that are sorted by it."""
-    bucket, rows = None, []
-    for batch in batches:
-        for b, *row in zip(batch.column("bucket").to_pylist(), *(batch.column(n) for n in names)):
-            if b != bucket and rows:
-                yield bucket, rows
-                rows = []
-            bucket = b
-            rows.append([x.as_py() for x in row])
-    if rows:
-        yield bucket, rows
-
-
 def _shared(batches: Batches) -> Batches:
     """(k, hashes) of the documents whose hash is also in one with another doc_id."""
-    for bucket, rows in _grouped(batches, ["ids", "h", "d"]):
+    for bucket, rows in grouped(batches, ["ids", "h", "d"]):
         if bucket < 0:  # decided by the sender
             for ids, h, d in rows:
-                yield _batch(_FLAGS, _flag_rows(np.frombuffer(ids, np.int64)[np.frombuffer(d, "<u4")], np.frombuffer(h, "<u4")))
+                yield to_batch(_FLAGS, _flag_rows(np.frombuffer(ids, np.int64)[np.frombuffer(d, "<u4")], np.frombuffer(h, "<u4")))
             continue
         ids = np.concatenate([np.frombuffer(i, np.int64)[np.frombuffer(d, "<u4")] for i, _, d in rows])
         h = np.concatenate([np.frombuffer(x, "<u4") for _, x, _ in rows])
@@ -268,7 +197,7 @@ def _shared(batches: Batches) -> Batches:
         shared = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
         own = np.repeat(shared, np.diff(first, append=len(h)))
         if own.any():
-            yield _batch(_FLAGS, _flag_rows(ids[own], h[own]))
+            yield to_batch(_FLAGS, _flag_rows(ids[own], h[own]))
 
 
 def _merged(spans: np.ndarray) -> np.ndarray:
@@ -303,8 +232,8 @@ def _send_runs(buckets: int) -> Callable[[Batches], Batches]:
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             ids = np.array(list(zip(batch.column("k").to_pylist(), batch.column("text_key").to_pylist())), np.int64).reshape(-1, 2)
-            texts = _texts(batch)
-            text, owner, base = _joined(texts)
+            texts = texts_of(batch)
+            text, owner, base = joined(texts)
             data = text.tobytes()
             h, at, size = seed_runs(text, owner)
             d = owner[at].astype(np.uint64)
@@ -319,7 +248,7 @@ def _send_runs(buckets: int) -> Callable[[Batches], Batches]:
             for i, (a, n) in enumerate(zip(at.tolist(), size.tolist())):
                 sends[i] = seen.setdefault(data[a : a + n + LENGTH - 1], owners[i]) == owners[i]
             rows = []
-            for bucket, chosen in _by_bucket(np.where(sends, (h % np.uint64(buckets)).astype(np.int64), -1)):
+            for bucket, chosen in by_bucket(np.where(sends, (h % np.uint64(buckets)).astype(np.int64), -1)):
                 chosen = chosen[np.argsort(d[chosen], kind="stable")]
                 start = at[chosen] - base[d[chosen]]
                 if bucket < 0:
@@ -329,7 +258,7 @@ def _send_runs(buckets: int) -> Callable[[Batches], Batches]:
                 own_d, index = np.unique(d[chosen], return_inverse=True)
                 runs = b"".join([data[a : a + n + LENGTH - 1] for a, n in zip(at[chosen].tolist(), size[chosen].tolist())])
                 rows.append((bucket, ids[own_d].tobytes(), pack.compress(runs), size[chosen].astype("<u1").tobytes(), index.astype("<u4").tobytes(), start.astype("<u4" if len(data) < 1 << 32 else "<u8").tobytes()))
-            yield _batch(_RUNS, rows)
+            yield to_batch(_RUNS, rows)
 
     return run
 
@@ -339,9 +268,9 @@ def _judge_runs(batches: Batches) -> Batches:
     import zstandard
 
     unpack = zstandard.ZstdDecompressor()
-    for bucket, rows in _grouped(batches, ["ids", "z", "size", "d", "at"]):
+    for bucket, rows in grouped(batches, ["ids", "z", "size", "d", "at"]):
         if bucket < 0:
-            yield _batch(_SPANS, [(*np.frombuffer(ids, np.int64).tolist(), spans) for ids, spans, *_ in rows])
+            yield to_batch(_SPANS, [(*np.frombuffer(ids, np.int64).tolist(), spans) for ids, spans, *_ in rows])
             continue
         ids, at, which, known, least = [], [], [], {}, []
         for own_ids, z, size, d, start in rows:
@@ -373,7 +302,7 @@ def _judge_runs(batches: Batches) -> Batches:
         last = hit & ((turn == count[sent] - 1) | ~np.concatenate((hit[1:], [False])))
         if hit.any():
             run, begin, end = sent[first], (at[sent] + turn)[first], (at[sent] + turn)[last] + LENGTH
-            yield _batch(_SPANS, _span_rows(ids[run, 0], ids[run, 1], begin, end))
+            yield to_batch(_SPANS, _span_rows(ids[run, 0], ids[run, 1], begin, end))
 
 
 _RESULT = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
@@ -383,12 +312,12 @@ def _cut(keep: bool) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         for batch in batches:
             rows = []
-            for doc_id, text, spans in zip(batch.column("doc_id").to_pylist(), _texts(batch), batch.column("spans").to_pylist()):
+            for doc_id, text, spans in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("spans").to_pylist()):
                 runs = _merged(np.frombuffer(b"".join(spans or []), "<i8").reshape(-1, 2))
                 at = [0, *runs.ravel().tolist(), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(at[::2], at[1::2]))
                 rows.append((doc_id, len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept if keep else None))
-            yield _batch(_RESULT, rows)
+            yield to_batch(_RESULT, rows)
 
     return run
 
@@ -397,16 +326,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """k, text_key, spans: byte ranges (start, end as pairs of 64-bit integers) to remove; several rows per document."""
     n = partitions(docs.sparkSession)
     few = max(1, n // 4)
-    hashes = _rows(docs).select("k", "text").mapInArrow(_send_hashes(few), _schema(_HASHES))
+    hashes = byte_rows(docs).select("k", "text").mapInArrow(_send_hashes(few), schema_of(_HASHES))
     # decided rows need no meeting, so they are dealt evenly
-    met = hashes.repartition(few, _dealt("h")).sortWithinPartitions("bucket")
-    flags = met.mapInArrow(_shared, _schema(_FLAGS)).groupBy("k").agg(F.collect_list("h").alias("flags"))
-    runs = _packed(docs).join(flags, "k").select("k", "text_key", "z", "flags").mapInArrow(_send_runs(n), _schema(_RUNS))
-    return runs.repartition(n, _dealt("z")).sortWithinPartitions("bucket").mapInArrow(_judge_runs, _schema(_SPANS))
-
-
-def _dealt(content: str) -> Column:
-    return F.when(F.col("bucket") < 0, F.xxhash64("ids", content)).otherwise(F.xxhash64("bucket"))
+    met = hashes.repartition(few, dealt("h")).sortWithinPartitions("bucket")
+    flags = met.mapInArrow(_shared, schema_of(_FLAGS)).groupBy("k").agg(F.collect_list("h").alias("flags"))
+    runs = packed_rows(docs).join(flags, "k").select("k", "text_key", "z", "flags").mapInArrow(_send_runs(n), schema_of(_RUNS))
+    return runs.repartition(n, dealt("z")).sortWithinPartitions("bucket").mapInArrow(_judge_runs, schema_of(_SPANS))
 
 
 def remove_repeats(docs: DataFrame, keep: bool = True) -> DataFrame:
@@ -418,5 +343,5 @@ def remove_repeats(docs: DataFrame, keep: bool = True) -> DataFrame:
     """
     # spans of one document meet here: as many as its runs at most
     spans = repeated_spans(docs).groupBy("k", "text_key").agg(F.collect_list("spans").alias("spans"))
-    rows = _packed(docs).join(spans, ["k", "text_key"], "left").select("doc_id", "z", "spans")
+    rows = packed_rows(docs).join(spans, ["k", "text_key"], "left").select("doc_id", "z", "spans")
     return rows.mapInArrow(_cut(keep), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
