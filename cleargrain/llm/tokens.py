@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
-import re
+import string
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -20,7 +20,7 @@ from cleargrain.session import staged_path
 BLOCK = 128  # ids of a block
 PERCENTILE = 0.9  # share of a block's values that its width has to hold; the others are exceptions
 SEGMENT = 1 << 16  # ids after which a segment ends; it holds whole documents
-CACHED = 500_000  # words, and pieces of words, whose ids a worker remembers
+CACHED = 1_000_000  # words and other runs whose ids a worker remembers
 _MAGIC = 0x31424650
 
 SEGMENT_SCHEMA = "part int, seq int, first bigint, doc_ids array<bigint>, lengths array<bigint>, payload binary"
@@ -95,61 +95,79 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.frexp(x.astype(np.float64))[1].astype(np.int64)
 
 
+# Classes of bytes for Encoder: white space, letters, digits, signs, and others, beside which no text is cut.
+_SPACE, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
+_CLASS = np.full(256, _OTHER, np.uint8)
+for _class, _bytes in ((_SPACE, b" \t\n\v\f\r"), (_DIGIT, string.digits.encode()), (_SIGN, string.punctuation.encode()), (_LETTER, string.ascii_letters.encode())):
+    _CLASS[list(_bytes)] = _class
+
+
 class Encoder:
     """Ids of a text by the tokenizers library, with an end id.
 
-    A vocabulary that ignores white space splits texts at it before anything else, and runs of letters from what is not a
-    letter. For texts of characters below U+0240 the library is therefore asked once for each distinct piece, many pieces
-    at a time, and the answers are remembered. Any text for which that could differ (marks that compose, other scripts,
-    separators on which Python and the vocabulary disagree, special tokens) is encoded whole.
+    A vocabulary that ignores white space splits texts at it before anything else, and letters, digits and signs from each
+    other. The library is therefore asked once for each distinct piece of UTF-8 text between such borders, many pieces at a
+    time, and the answers are remembered. Texts with characters beyond U+023F (marks that compose, other scripts) or
+    special tokens are encoded whole, and so are all texts if the vocabulary does not split like that.
     """
 
-    _PIECE = re.compile(r"[^\W\d_]+|[\W\d_]+")
-    _APART = "\x1c\x1d\x1e\x1f\x85"
-
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.end, self.words, self.pieces = np.uint32(end_id).tobytes(), {}, {}
-        probe = "a b\nc9\td,  e"
-        self.splits = self._ids(probe) == b"".join(map(self._ids, ["a", "b", "c", "9", "d", ",", "e"]))
+        self.end, self.known = np.uint32(end_id).tobytes(), {}
+        probe = "a b\nc9\td,  e's"
+        self.splits = self._ids(probe) == b"".join(map(self._ids, ["a", "b", "c", "9", "d", ",", "e", "'s"]))
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _whole(self, text: str) -> bool:
-        if any(c in text for c in self._APART) or "<|" in text:
-            return True
-        # below U+0240 no byte of the UTF-8 form is above 0xC8
-        return not text.isascii() and int(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).max()) > 0xC8
-
-    def _learn(self, words: list[str]) -> None:
-        # an apostrophe may belong to the letters behind it
-        parts = {w: [w] if "'" in w else self._PIECE.findall(w) for w in words}
-        if new := [p for p in {p for own in parts.values() for p in own} if p not in self.pieces]:
-            got = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(p) + 1 for p in new)])
-            ids = np.array(got.ids, "<u4")
-            cuts = np.searchsorted(np.array([o[0] for o in got.offsets], np.int64), starts).tolist()
-            self.pieces.update((p, ids[a:b].tobytes()) for p, a, b in zip(new, cuts, cuts[1:]))
-        self.words.update((w, b"".join(map(self.pieces.__getitem__, own))) for w, own in parts.items())
+    @staticmethod
+    def _pieces(data: bytes) -> list[bytes]:
+        """``data`` cut at white space and at borders of letters, digits and signs. Latin-1 letters are letters; there is
+        no border behind an apostrophe, which may belong to the letters that follow."""
+        text = np.frombuffer(data, np.uint8)
+        kind = _CLASS[text]
+        if not data.isascii():
+            lead = text[:-1] == 0xC3
+            kind[:-1][lead] = np.where((text[1:][lead] == 0x97) | (text[1:][lead] == 0xB7), _OTHER, _LETTER)
+            kind[1:][lead] = kind[:-1][lead]
+        here, there = kind[:-1], kind[1:]
+        border = (here != there) & (here != _SPACE) & (there != _SPACE) & (here != _OTHER) & (there != _OTHER) & (text[:-1] != 0x27)
+        cuts = np.flatnonzero(border) + 1
+        out = np.full(len(text) + len(cuts), 0x20, np.uint8)
+        inside = np.ones(len(out), bool)
+        inside[cuts + np.arange(len(cuts))] = False
+        out[inside] = text
+        return out.tobytes().split()
+
+    def _learn(self, new: list[bytes]) -> None:
+        words = [p.decode() for p in new]
+        got = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        starts = np.cumsum([0, *(len(w) + 1 for w in words)])
+        ids = np.array(got.ids, "<u4").tobytes()
+        cuts = (4 * np.searchsorted(np.array([o[0] for o in got.offsets], np.int64), starts)).tolist()
+        self.known.update((p, ids[a:b]) for p, a, b in zip(new, cuts, cuts[1:]))
 
     def __call__(self, text: str | None) -> bytes:
         """Little-endian 32-bit ids; null counts as empty."""
         text = text or ""
-        if not self.splits or self._whole(text):
+        data, known = text.encode("utf-8", "surrogatepass"), self.known
+        # below U+0240 no byte of the UTF-8 form is above 0xC8
+        if not data or not self.splits or b"<|" in data or (not data.isascii() and np.frombuffer(data, np.uint8).max() > 0xC8):
             return self._ids(text) + self.end
-        words = text.split()
-        if new := [w for w in set(words) if w not in self.words]:
-            if len(self.words) > CACHED:
-                self.words.clear()
-                new = list(set(words))
-            if len(self.pieces) > CACHED:
-                self.pieces.clear()
-            self._learn(new)
-        return b"".join(map(self.words.__getitem__, words)) + self.end
+        if len(known) > CACHED:
+            known.clear()
+        pieces = self._pieces(data)
+        ids = list(map(known.get, pieces))
+        if None in ids:
+            gaps = [i for i, x in enumerate(ids) if x is None]
+            self._learn(list({pieces[i] for i in gaps}))
+            for i in gaps:
+                ids[i] = known[pieces[i]]
+        ids.append(self.end)
+        return b"".join(ids)
 
 
 @functools.lru_cache(1)
