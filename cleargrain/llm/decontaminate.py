@@ -113,6 +113,14 @@ def _summary(found: DataFrame) -> DataFrame:
     covered = "aggregate(spans, named_struct('n', 0L, 'end', 0), (a, s) -> named_struct('n', a.n + greatest(0, s.start + s.n - greatest(s.start, a.end)), 'end', greatest(a.end, s.start + s.n)), a -> a.n)"
     out = each.withColumn("n_hit", F.expr(covered)).withColumn("copy", F.explode(F.expr("sequence(1L, rows)")))
     return out.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        "doc_id", "text_key", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "spans",
     )
+
+
+def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without a window of a benchmark item; all columns stay, see ``contamination``."""
+    hit = contamination(docs, items).filter("contaminated").select("doc_id", F.col("text_key")).distinct()
+    rows = docs.select(F.struct("*").alias("d"))
+    same = F.col("d.doc_id").cast("bigint").eqNullSafe(F.col("doc_id")) & (F.xxhash64("d.text") == F.col("text_key"))
+    return rows.join(hit, same, "left_anti").select("d.*")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cleargrain.llm.common import join_groups
+from cleargrain.llm.common import ascii_lower, join_groups
 from cleargrain.llm.components import connected_components
 from cleargrain.session import stage
 
@@ -194,3 +194,59 @@ def near_classes(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFram
     return join_groups(rows, facts, "print", "n").select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+COMPARED = 2000  # members that meet one copy of their group's first text
+
+
+def _shingle_set(words: int) -> Column:
+    """Distinct hashes of the word shingles of the array column ``w``; of all words if there are fewer."""
+    run = ", ".join(f"w[i + {j}]" for j in range(words))
+    return F.expr(f"array_distinct(if(size(w) < {words}, array(xxhash64(w)), transform(sequence(0, size(w) - {words}), i -> xxhash64({run}))))")
+
+
+def _confirmed(members: DataFrame, similarity: float) -> DataFrame:
+    """Rows (place, component, size, set) of stored groups that repeat an earlier one of their group.
+
+    In each round the first row of every group stays, and the rows whose sets have at least ``similarity`` (Jaccard) with
+    it are repeats; the others form the group of the next round, so a round is linear in the rows. The first row is dealt
+    in copies to COMPARED members each, which splits large groups. Rounds end when no group has two rows left.
+    """
+    out, left = None, members
+    while left.limit(1).count():
+        sizes = left.groupBy("component").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+        sizes = stage(sizes, "near-sizes")
+        first = left.join(sizes.select("first", F.col("component").alias("c"), "size"), F.col("place") == F.col("first"))
+        first = first.select("component", "first", F.col("set").alias("own"), F.explode(F.expr(f"sequence(0L, size div {COMPARED})")).alias("salt"))
+        salted = left.join(sizes, "component").filter("place <> first").withColumn("salt", F.expr(f"pmod(xxhash64(place), 1 + size div {COMPARED})"))
+        both = salted.drop("first", "size").join(first, ["component", "salt"])
+        common = F.size(F.array_intersect("set", "own"))
+        judged = both.select("place", "component", "set", (common >= similarity * (F.size("set") + F.size("own") - common)).alias("repeats"))
+        judged = stage(judged, "near-judged")
+        found, left = judged.filter("repeats").select("place"), judged.filter("not repeats").drop("repeats")
+        out = found if out is None else out.unionByName(found)
+    return members.limit(0).select("place") if out is None else out
+
+
+def near_dedup(docs: DataFrame, words: int = 5, distance: int = 6, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without those that repeat an earlier one; all columns stay.
+
+    Words are runs between white space after lower-casing A-Z. Rows with the same words are one class, of which the smallest
+    doc_id stays (null ids last). Classes whose fingerprints of ``words``-word shingles are connected by links of at most
+    ``distance`` bits are candidates; a class goes if its shingle set has at least ``similarity`` with that of a class that
+    stays and has a smaller doc_id. Texts without words are one class. An empty table gives an empty result.
+    """
+    rows = docs.select(F.struct("*").alias("d"), F.monotonically_increasing_id().alias("uid"))
+    rows = stage(rows, "near-rows")
+    tokens = F.array_remove(F.split(ascii_lower(F.col("d.text")), "[\\x20\\x09-\\x0D]+"), "")
+    order = F.struct(F.col("d.doc_id").isNull().alias("n"), F.col("d.doc_id").cast("bigint").alias("i"), F.col("uid").alias("u"))
+    classes = rows.groupBy(F.sha2(F.array_join(tokens, " "), 256).alias("key")).agg(F.min(order).alias("place"))
+    classes = stage(classes.select("place", F.col("place.u").alias("uid")), "near-classes")
+    distinct = rows.join(classes, "uid").select("uid", F.col("d.text").alias("text"))
+    near = near_classes(distinct.withColumnRenamed("uid", "doc_id"), words, distance).select(F.col("doc_id").alias("uid"), F.col("component_id").alias("component"))
+    near = stage(near, "near-components")
+    groups = near.groupBy("component").count().filter("count > 1").select("component")
+    texts = rows.join(near.join(groups, "component").join(classes, "uid"), "uid").select("place", "component", tokens.alias("w"))
+    members = stage(texts.select("place", "component", _shingle_set(words).alias("set")), "near-members")
+    gone = _confirmed(members, similarity).select(F.col("place.u").alias("uid"))
+    return rows.join(classes.select("uid").join(gone, "uid", "left_anti"), "uid", "left_semi").select("d.*")

@@ -186,3 +186,10 @@ def offending_sentences(docs: DataFrame, model: dict[str, float], least: float =
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "start", "end", "score"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, start int, end int, score double")
+
+
+def drop_toxic(docs: DataFrame, model: dict[str, float], least: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below ``least``; all columns stay. Null and empty texts score 0 and stay."""
+    score = scorer(docs.sparkSession, model)
+    rows = docs.select(F.struct("*").alias("d"), score(F.col("text")).alias("s"))
+    return rows.filter(F.col("s") < least).select("d.*")
