@@ -135,8 +135,8 @@ def plan_parts(prints: DataFrame, distance: int) -> list[Part]:
     on the whole part, which are counted, and from the bits' shares. Dynamic programming picks the thresholds of least
     cost (probes and expected candidates). More fingerprints favour fewer, wider parts, so candidates stay near-linear.
     """
-    n, joint = prints.count(), joint_counts(prints)
-    share = np.diag(joint) / max(n, 1)
+    n, joint = max(1, prints.count()), joint_counts(prints)  # an empty table is planned like one row, so its probes stay few
+    share = np.diag(joint) / n
     agree = np.clip(share**2 + (1 - share) ** 2, 0.5, 1)
     best: tuple[float, list[Part]] = (math.inf, [])
     for m in range(1, distance + 2):
