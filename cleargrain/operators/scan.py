@@ -27,7 +27,8 @@ def running(
 ) -> DataFrame:
     """Add inclusive running sums and maxima along ``order`` within ``by``.
 
-    ``bucket`` must never decrease along ``order``.
+    ``bucket`` must never decrease along ``order``. Rows whose ``by`` is null form a group of their own, and rows with a
+    null bucket come first.
     """
     by = list(by)
     sums, maxes = dict(sums or {}), dict(maxes or {})
@@ -38,12 +39,13 @@ def running(
     )
     before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
-        *by, "__bucket",
+        *[F.col(c).alias(f"__k{i}") for i, c in enumerate([*by, "__bucket"])],
         *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums],
         *[F.max(f"__t_{n}").over(before).alias(f"__o_{n}") for n in maxes],
     )
     inside = Window.partitionBy(*by, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = cut.join(starts, by + ["__bucket"])
+    same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate([*by, "__bucket"])]
+    joined = cut.join(starts, same)
     out = [F.col(c) for c in df.columns]
     out += [(F.sum(c).over(inside) + F.col(f"__o_{n}")).alias(n) for n, c in sums.items()]
     out += [F.greatest(F.max(c).over(inside), F.col(f"__o_{n}")).alias(n) for n, c in maxes.items()]

@@ -98,3 +98,13 @@ def test_draws_are_exact_and_repeatable(spark):
     again = labels.stratified_split(df.repartition(13), "label", ["id"])
     assert split.exceptAll(again).isEmpty()
     assert labels.flip_labels(df, "label", ["id"]).agg(F.sum("label")).first()[0] == 51
+
+
+def test_draws_keep_rows_without_a_label(spark):
+    rows = spark.createDataFrame([(i, None if i % 4 == 0 else i % 2) for i in range(100)], "row_id bigint, label int")
+    split = labels.stratified_split(rows, "label", ["row_id"]).collect()
+    assert len(split) == 100 and not any(r.is_test for r in split if r.label is None)
+    assert sum(r.is_test for r in split) == 15
+    flipped = labels.flip_labels(rows, "label", ["row_id"]).collect()
+    assert len(flipped) == 100 and sum(r.label is None for r in flipped) == 25
+    assert sum(r.label == 1 for r in flipped) == 25
