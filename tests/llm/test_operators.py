@@ -211,6 +211,45 @@ def test_passages(spark, docs, empty):
     assert passages.shared_passages(empty).count() == 0
 
 
+def words_covered(found, doc, other=None):
+    """Words of ``doc`` that lie in its passages."""
+    own = [r for r in found if r.doc_id == doc and other in (None, r.other_id)]
+    return {w for r in own for w in range(r.start_word, r.end_word)}
+
+
+def test_passages_with_other_words_between(spark):
+    rows = []
+    for i, between in enumerate([20, 40, 50, 60, 70, 90, 150]):
+        one, two = prose(f"one{i}", 60), prose(f"two{i}", 60)
+        for side in (0, 1):
+            rows.append((100 * i + side, f"{prose(f'l{i}{side}', 30)} {one} {prose(f'm{i}{side}', between)} {two} {prose(f'r{i}{side}', 30)}"))
+        rows.append((100 * i + 50, f"{prose(f'x{i}', 30)} {two} {prose(f'y{i}', 30)}"))
+    found = passages.shared_passages(frame(spark, rows)).collect()
+    for i, between in enumerate([20, 40, 50, 60, 70, 90, 150]):
+        whole = {*range(30, 90), *range(90 + between, 150 + between)}
+        assert whole <= words_covered(found, 100 * i + 1, 100 * i), between
+        assert set(range(30, 90)) <= words_covered(found, 100 * i + 50), between
+    assert all(r.alike >= 0.8 and min(r.end_word - r.start_word, r.other_end - r.other_start) >= 40 for r in found)
+
+
+def test_common_words_as_brute_force():
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    draw = random.Random(1)
+    for _ in range(300):
+        a, b = ([draw.randrange(6) for _ in range(draw.randrange(30))] for _ in (0, 1))
+        path = passages.common_words(a, b)
+        assert len(path) == longest(a, b) and all(a[i] == b[j] for i, j in path)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(path, path[1:]))
+
+
 def brute_repeats(rows, length=50):
     first = {}
     key = lambda i: float("-inf") if i is None else i
