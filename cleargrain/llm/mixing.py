@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,9 @@ BUCKETS = 1 << 16  # hashed words of the classifier; the weights are broadcast,
 SMOOTHING = 0.5
 SHARPNESS = (0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0, 8.0)  # of the posteriors, picked by likelihood
 PULL = 1e-4  # weight of keeping the rates near 1, which makes the solution unique
-STEPS, SPAN, TOLERANCE = 48, 8, 5e-4  # gradient steps, steps between written states, share of the total left open
+LEAST_PULL = 1e-10  # the weight falls tenfold, down to this, while it keeps the totals from the targets
+TOLERANCE = 5e-4  # share of the total left open
+STEPS, SLOPE = 200, 1e-7  # Newton steps at one weight, at most, and the slope at which they end, as a share of the total
 
 
 def _tokens(text: Column) -> Column:
@@ -103,47 +107,74 @@ def memberships(docs: DataFrame, model: DomainModel) -> DataFrame:
     return model.evidence(docs).select("doc_id", "text_key", "rows", "n_tokens", model.posterior().alias("p"))
 
 
-def _dot(e: str) -> str:
-    return f"aggregate(zip_with(p, {e}, (a, b) -> a * b), 0D, (a, x) -> a + x)"
+def _rate(multipliers: np.ndarray) -> Column:
+    """Rate of a document by the multiplier of each domain."""
+    by = F.lit(0.0)
+    for i, m in enumerate(multipliers):
+        by = by + F.lit(float(m)) * F.col("p")[i]
+    return F.greatest(F.lit(0.0), F.lit(1.0) - by)
 
 
 def fit_rates(members: DataFrame, targets: list[float]) -> tuple[DataFrame, list[float]]:
-    """Nonnegative rates by accelerated projected-gradient least squares over the stored ``members``.
+    """Nonnegative rates by least squares over the stored ``members``.
 
     Minimises the squared gap between the expected tokens per domain, sum(rate x n_tokens x p), and ``targets``, in units of
-    their sum. A document's step depends on the K gaps alone, so a step is one aggregate over the documents with K numbers
-    to the driver; every SPAN steps the rates are written. Returns the members with their rate, and the expected totals.
+    their sum, and PULL x the squared distance of the rates from 1. At the minimum a rate is max(0, 1 - p . m) with one
+    multiplier m per domain, so Newton steps on the K multipliers find it: a step is one aggregate over the documents, with
+    K totals and the K x K sums of n_tokens p p' of the documents with a rate to the driver. While the totals miss the
+    targets by TOLERANCE or more and a weaker pull brings them nearer, it is weakened. Returns the members with their rate,
+    and the expected totals; what those lack of the targets cannot be reached.
     """
-    total = float(sum(targets))
-    names = [f"y{i}" for i in range(len(targets))]
+    total, k = float(sum(targets)), range(len(targets))
+    aim = np.array(targets, float)
     corpus = members.agg(F.sum(F.col("n_tokens") * F.col("rows"))).first()[0] or 0
-    state = members.select("*", F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
     if not corpus or not total:
-        return state.drop("y").withColumnRenamed("r", "rate"), [0.0] * len(targets)
-    size = 1 / (corpus / total + PULL)
-    past: list[tuple[list[float], float]] = []
-
-    def stepped() -> DataFrame:
-        if not past:
-            return state
-        steps = ", ".join(f"named_struct('e', array({', '.join(f'{x!r}D' for x in e)}), 'b', {b!r}D)" for e, b in past)
-        after = f"greatest(0D, s.y - {size!r}D * ({_dot('g.e')} + {PULL!r}D * (s.y - 1)))"
-        fold = f"aggregate(array({steps}), named_struct('r', r, 'y', y), (s, g) -> transform(array({after}), v -> named_struct('r', v, 'y', v + g.b * (v - s.r)))[0])"
-        return state.withColumn("f", F.expr(fold)).withColumn("r", F.col("f.r")).withColumn("y", F.col("f.y")).drop("f")
-
-    def expected(column: str) -> list[Column]:
-        return [F.sum(F.col(column) * F.col("n_tokens") * F.col("rows") * F.col("p")[i]).alias(f"{column}{i}") for i in range(len(targets))]
-
-    for step in range(STEPS):
-        row = stepped().agg(*expected("y"), *expected("r")).first()
-        if max(abs(row[f"r{i}"] - t) for i, t in enumerate(targets)) < TOLERANCE * total:
+        return members.withColumn("rate", F.lit(1.0)), [0.0] * len(targets)
+    n = F.col("n_tokens") * F.col("rows")
+
+    def measured(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Half the sum of n rate^2, the expected totals, and the sums of n p p' where the rate is above 0."""
+        rated = members.select(n.alias("n"), "p", _rate(m).alias("r"))
+        sums = [F.sum(F.col("n") * F.col("r") * F.col("p")[i]) for i in k]
+        squares = [F.sum(F.when(F.col("r") > 0, F.col("n") * F.col("p")[i] * F.col("p")[j]).otherwise(0.0)) for i in k for j in k[: i + 1]]
+        half, *found = rated.agg(F.sum(F.col("n") * F.col("r") * F.col("r")) / 2, *sums, *squares).first()
+        outer = np.zeros((len(k), len(k)))
+        for (i, j), x in zip(((i, j) for i in k for j in k[: i + 1]), found[len(k) :]):
+            outer[i, j] = outer[j, i] = x
+        return half, np.array(found[: len(k)], float), outer
+
+    def solved(m: np.ndarray, at: tuple[float, np.ndarray, np.ndarray], pull: float) -> tuple[np.ndarray, tuple[float, np.ndarray, np.ndarray]]:
+        def dual(m: np.ndarray, half: float) -> float:
+            return half + m @ aim + total * pull / 2 * (m @ m)
+
+        for _ in range(STEPS):
+            slope = aim - at[1] + total * pull * m
+            if abs(slope).max() < SLOPE * total:
+                break
+            step = -np.linalg.solve(at[2] + total * pull * np.eye(len(k)), slope)
+            size, now = 1.0, dual(m, at[0])
+            while True:
+                after = measured(m + size * step)
+                if dual(m + size * step, after[0]) <= now + 1e-4 * size * (slope @ step):
+                    break
+                size /= 2
+                if size < 1e-6:  # the numbers' precision is used up
+                    return m, at
+            m, at = m + size * step, after
+        return m, at
+
+    def gap(totals: np.ndarray) -> float:
+        return float(abs(totals - aim).max() / total)
+
+    m = np.zeros(len(k))
+    m, at = solved(m, measured(m), PULL)
+    pull = PULL / 10
+    while gap(at[1]) >= TOLERANCE and pull >= LEAST_PULL:
+        weaker = solved(m, at, pull)
+        if gap(weaker[1][1]) > 0.95 * gap(at[1]):
             break
-        past.append(([float((row[n] - t) / total) for n, t in zip(names, targets)], step / (step + 3.0)))
-        if len(past) == SPAN:
-            state, past = stage(stepped(), "rates"), []
-    rated = stage(stepped(), "rates")
-    row = rated.agg(*expected("r")).first()
-    return rated.drop("y").withColumnRenamed("r", "rate"), [float(row[f"r{i}"]) for i in range(len(targets))]
+        (m, at), pull = weaker, pull / 10
+    return members.withColumn("rate", _rate(m)), at[1].tolist()
 
 
 def copies(rate: Column, *key: str) -> Column:
@@ -159,13 +190,19 @@ def mixture(docs: DataFrame, domains: DataFrame, weights: dict[str, float], scal
     row per distinct (doc_id, text). Targets are the weights times ``scale`` x the corpus's tokens; by default the smallest
     scale at which no domain needs fewer tokens than it has, so that rare domains are repeated rather than others thinned
     out. Texts without words have no tokens and the rate that their prior memberships give. An empty table gives no rows.
+    Where no rates reach the targets, those that come nearest are returned, and a warning tells what is missing.
     """
     names = list(weights)
     model = fit_domains(docs, domains, names)
     members = stage(memberships(docs, model), "memberships")
     have = members.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col("rows") * F.col("p")[i]), F.lit(0.0)) for i in range(len(names))]).first()
     total = sum(have) * scale if scale else max([h / w for h, w in zip(have, weights.values()) if w > 0] or [0.0])
-    rated, _ = fit_rates(members, [w * total for w in weights.values()])
+    targets = [w * total for w in weights.values()]
+    rated, reached = fit_rates(members, targets)
+    if any(reached) and max(abs(r - t) for r, t in zip(reached, targets)) >= TOLERANCE * sum(targets):
+        of = sum(targets)
+        told = ", ".join(f"{n} {r / of:.4f} for {t / of:.4f}" for n, r, t in zip(names, reached, targets))
+        warnings.warn(f"the targets of the mixture cannot be reached; shares of the target tokens: {told}", stacklevel=2)
     return rated.withColumn("copies", copies(F.col("rate"), "doc_id", "text_key"))
 
 

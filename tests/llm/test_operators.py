@@ -171,6 +171,35 @@ def test_mixture_meets_targets(spark, empty):
     assert mixing.mixture(docs, domains.limit(0), weights).count() == len(rows)
 
 
+def soft_members(spark, shares, certainty, n=600):
+    """Documents of known domains whose memberships are only partly certain."""
+    draw, rows = np.random.default_rng(5), []
+    for i in range(n):
+        own = draw.choice(len(shares), p=shares)
+        p = np.array(shares) * np.exp(certainty * draw.normal(2.0 * (np.arange(len(shares)) == own), 1.0))
+        rows.append((i, i, 1, int(draw.integers(20, 400)), (p / p.sum()).tolist()))
+    return spark.createDataFrame(rows, "doc_id long, text_key long, rows long, n_tokens long, p array<double>")
+
+
+@pytest.mark.parametrize("shares, weights", [((0.9, 0.05, 0.05), (0.85, 0.12, 0.03)), ((0.6, 0.4), (0.88, 0.12))])
+@pytest.mark.parametrize("certainty", [0.6, 1.0, 2.0])
+def test_soft_memberships_meet_targets(spark, shares, weights, certainty):
+    members = soft_members(spark, shares, certainty)
+    rows = members.collect()
+    n, p = np.array([r.n_tokens for r in rows], float), np.array([r.p for r in rows])
+    total = max(n @ p / weights)
+    rated, reached = mixing.fit_rates(members, [w * total for w in weights])
+    rate = np.array([r.rate for r in sorted(rated.collect(), key=lambda r: r.doc_id)])
+    assert (rate >= 0).all() and (rate * n) @ p == pytest.approx(reached)
+    assert np.array(reached) / total == pytest.approx(weights, abs=mixing.TOLERANCE)
+
+
+def test_targets_out_of_reach_are_told(spark):
+    docs, domains = frame(spark, [(i, prose(i, 30)) for i in range(40)]), spark.createDataFrame([(1, "alien")], "doc_id bigint, domain string")
+    with pytest.warns(UserWarning, match="cannot be reached"):
+        mixing.mixture(docs, domains, {"clean": 0.88, "low": 0.12})
+
+
 # -- toxicity
 
 
