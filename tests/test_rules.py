@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 
+from cleargrain.functions.vocabulary import DEFAULT_CATALOGUE
 from cleargrain.operators.classify import classify, flag_rows
 from cleargrain.operators.rules.table import RuleOptions, dataset_kind
 
@@ -90,6 +91,17 @@ def test_product_category(frame, spark):
     assert [r.anomaly_types for r in rows] == ["", "", "", "", wrong, ""]
 
 
+def test_product_of_every_category(frame):
+    pairs = {
+        "plum": "produce", "ham": "meat", "cod": "seafood", "feta": "dairy", "oats": "grains", "vodka": "beverages", "ketchup": "condiments",
+        "chips": "snacks", "frozen pizza": "frozen", "canned soup": "canned", "shampoo": "health_beauty", "mop": "household",
+        "cat litter": "pets", "mouse": "electronics", "belt": "fashion", "garden hose": "home",
+    }
+    assert len(DEFAULT_CATALOGUE) == 384 and set(DEFAULT_CATALOGUE.values()) == set(pairs.values())
+    df = frame("product string, category string", [*pairs.items(), *((p, "elsewhere") for p in pairs)])
+    assert tags(df, ["product_category"])[0] == [""] * 16 + ["product_category_mismatch|"] * 16
+
+
 def test_groups_and_copies(frame):
     df = frame("order_id string, total double, customer_id string, email string", [
         ("A", 1.0, "c1", "x"), ("A", None, "c1", "x"), ("B", 5.0, "c2", None), ("B", 5.0, "c2", None),
