@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleargrain.llm import decontaminate, digests, licences, mixing, passages, shards, simhash, suffixes, tokens, toxicity
+from cleargrain.llm import decontaminate, digests, licences, line_quality, mixing, passages, shards, simhash, suffixes, tokens, toxicity
 from cleargrain.llm.common import table
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
@@ -64,6 +64,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_classes(table(spark, sf_dir, "documents"))
 
 
+def op13_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = line_quality.judge(table(spark, sf_dir, "documents"))
+    return judged.withColumn("cleaned_sha256", F.sha2(F.encode("cleaned", "UTF-8"), 256)).drop("cleaned")
+
+
 QUERIES = {
     "op1_token_blocks": op1_token_blocks,
     "op2_prefix_join": op2_prefix_join,
@@ -75,12 +80,15 @@ QUERIES = {
     "op8_suffix_array": op8_suffix_array,
     "op9_digest_index": op9_digest_index,
     "op10_simhash": op10_simhash,
+    "op13_line_quality": op13_line_quality,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+_WORD = "[^\\x20\\x09-\\x0D]+"
+
 ORACLES = {
     "op2_prefix_join": f"""
 with d as (select row_number() over () as rid, cast(doc_id as bigint) as doc_id, {_WORDS} as w from documents),
@@ -102,4 +110,27 @@ with d as (select cast(doc_id as bigint) as doc_id, {_LOWER} as norm from docume
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept,
   sha256(norm) as text_sha256
 from d window w as (partition by norm)""",
+    "op13_line_quality": f"""
+with d as (select row_number() over () as rid, cast(doc_id as bigint) as doc_id, coalesce(text, '') as text from documents),
+s as (select *, regexp_extract_all(text, '{_WORD}') as w, string_split(text, chr(10)) as lines from d),
+pos as (select rid, unnest(range(1, len(w) - 1)) as p, w from s where len(w) >= 3),
+win as (select rid, p, list_slice(w, p, p + 2) as x from pos),
+twice as (select rid, p from (select rid, p, count(*) over (partition by rid, x) as n from win) where n >= 2),
+rep as (select rid, count(distinct p + k) as n_repeat_words from twice, range(3) as r(k) group by rid),
+l as (select rid, unnest(lines) as line, generate_subscripts(lines, 1) as i from s),
+m as (select rid, i, line, len(regexp_extract_all(line, '{_WORD}')) as nw, length(regexp_replace(line, '{line_quality.SPACE}+', '', 'g')) as nc,
+  len(regexp_extract_all(line, '{line_quality.SYMBOLS}')) as sym, len(regexp_extract_all(line, '{line_quality.SEPARATORS}')) as sep,
+  translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low from l),
+v as (select *, nc > 0 and ((nw < 12 and not regexp_matches(line, '{line_quality.CLOSED.replace("'", "''")}')) or 100 * sym > 10 * nc
+  or (sep >= 2 and nw <= 4 * (sep + 1)) or (nw < 30 and ({" or ".join(f"contains(low, '{p}')" for p in line_quality.PHRASES)}))) as bad from m),
+per as (select rid, count(*) filter (nc > 0) - count(distinct line) filter (nc > 0) as n_dup_lines, count(*) filter (bad) as n_failed_lines,
+  cast(coalesce(sum(nc) filter (bad), 0) as bigint) as lost_chars, coalesce(string_agg(line, chr(10) order by i) filter (not bad), '') as cleaned from v group by rid),
+f as (select s.rid, doc_id, cast(len(w) as bigint) as n_words, cast(length(list_aggregate(w, 'string_agg', '')) as bigint) as chars,
+  cast(len(regexp_extract_all(text, '{line_quality.SYMBOLS}')) as bigint) as n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
+  n_failed_lines, lost_chars, cleaned from s join per using (rid) left join rep using (rid))
+select doc_id, n_words, coalesce(chars, 0) as word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and 100 * lost_chars <= 30 * coalesce(chars, 0) as kept,
+  n_failed_lines, lost_chars, sha256(cleaned) as cleaned_sha256
+from f""",
 }
