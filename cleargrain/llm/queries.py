@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleargrain.llm import decontaminate, digests, licences, line_quality, mixing, passages, shards, simhash, suffixes, tokens, toxicity
+from cleargrain.llm import decontaminate, digests, licences, line_quality, mixing, passages, phrases, shards, simhash, suffixes, tokens, toxicity, whitening
 from cleargrain.llm.common import table
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
@@ -64,6 +64,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_quotient_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
 def op13_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = line_quality.judge(table(spark, sf_dir, "documents"))
     return judged.withColumn("cleaned_sha256", F.sha2(F.encode("cleaned", "UTF-8"), 256)).drop("cleaned")
@@ -80,6 +88,8 @@ QUERIES = {
     "op8_suffix_array": op8_suffix_array,
     "op9_digest_index": op9_digest_index,
     "op10_simhash": op10_simhash,
+    "op11_quotient_filter": op11_quotient_filter,
+    "op12_whitening": op12_whitening,
     "op13_line_quality": op13_line_quality,
 }
 
@@ -110,6 +120,24 @@ with d as (select cast(doc_id as bigint) as doc_id, {_LOWER} as norm from docume
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept,
   sha256(norm) as text_sha256
 from d window w as (partition by norm)""",
+    "op11_quotient_filter": f"""
+with d as (select row_number() over () as rid, coalesce(lang, 'und') as lang, {_LOWER} as text from documents),
+p as (select rid, lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) as piece from d),
+w as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from p),
+grams as (select lang, k, list_slice(w, i, i + k - 1) as g from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, range(1, 4) as r(k) where len(w) >= k)),
+f as materialized (select lang, k, g, count(*) as a from grams group by all),
+n as (select lang, sum(a) as n from f where k = 1 group by lang),
+often as materialized (select lang, k, g, array_to_string(g, ' ') as t, a from f where a >= 10),
+parts as materialized (select lang, g, t, k, a, j, array_to_string(list_slice(g, 1, j), ' ') as left_t, array_to_string(list_slice(g, j + 1, k), ' ') as right_t
+  from often, range(1, 3) as r(j) where k > j),
+cut as (select c.lang, c.k, c.g, c.a, j, x.a as l, y.a as r, cast(1000000 * c.a::hugeint * c.a // (x.a::hugeint * y.a) as bigint) as score
+  from parts c join often x on x.lang = c.lang and x.t = left_t join often y on y.lang = c.lang and y.t = right_t),
+best as (select * from cut qualify row_number() over (partition by lang, k, g order by score, j) = 1),
+inside as (select lang, g, max(a) as longest from (select lang, list_slice(g, i, i + 1) as g, a from best, range(1, 3) as r(i) where k = 3) group by all),
+kept as (select best.* from best left join inside using (lang, g) where k = 3 or longest is null or 100 * longest < 50 * a),
+ranked as (select *, array_to_string(g, ' ') as phrase from kept)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, cast(n as bigint) as n, score
+from ranked join n using (lang) qualify rank <= 2000""",
     "op13_line_quality": f"""
 with d as (select row_number() over () as rid, cast(doc_id as bigint) as doc_id, coalesce(text, '') as text from documents),
 s as (select *, regexp_extract_all(text, '{_WORD}') as w, string_split(text, chr(10)) as lines from d),
