@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cleargrain.functions import vocabulary as V
+from cleargrain.operators.date_formats import parse_dates
 from cleargrain.operators.keyed import attach
 from cleargrain.operators.quantiles import one_row
 from cleargrain.operators.rules import facts
-from cleargrain.operators.rules.families import FAMILIES, missing_cells
+from cleargrain.operators.rules.families import FAMILIES, judged_dates, missing_cells
 from cleargrain.operators.rules.table import Hit, RuleOptions, RuleTable
 from cleargrain.session import stage
 
@@ -31,14 +32,16 @@ def flag_rows(
     copy and statistic stays within it. ``meta`` columns are carried but not
     judged. The table is read once per fact, so pass a stored one.
     """
-    scope = list(scope)
-    table = RuleTable(df, {"row_id", *scope, *meta}, options)
+    scope, rows, times = list(scope), df, {}
     families = [f for f in FAMILIES if f in families]
+    if options.date_formats is None and {"dates", "business"} & set(families):
+        rows, times, _ = parse_dates(df, judged_dates(df.columns), scope)
+    table = RuleTable(df, {"row_id", *scope, *meta}, options, times)
     hits = [hit for f in families for hit in FAMILIES[f](table)]
     for name in facts.numeric_inputs(table):
         table.number(name)  # read by the facts, so it must be among the helpers
 
-    base = work = df.withColumns(table.helpers) if table.helpers else df
+    base = work = rows.withColumns(table.helpers) if table.helpers else rows
     if "cross_column" in families or "duplicates" in families:
         work = facts.attach_key_facts(work, base, table, scope, "cross_column" in families, "duplicates" in families)
     if "duplicates" in families:

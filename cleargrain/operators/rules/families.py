@@ -6,6 +6,8 @@ condition counts as "not fired".
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import functions as F
 
 from cleargrain.functions import vocabulary as V
@@ -86,6 +88,12 @@ def string_format(t: RuleTable) -> list[Hit]:
     return hits + [Hit(f"{n}_missing", t.missing(n), 2, "high") for n in IDS if t.has(n)]
 
 
+def judged_dates(columns: Sequence[str]) -> list[str]:
+    """Date columns that the rules parse."""
+    main = [n for n in ("date", "InvoiceDate") if n in columns][:1]
+    return main + ([n for n in ("order_date", "shipping_date") if n in columns] if {"order_date", "shipping_date"} <= set(columns) else [])
+
+
 def dates(t: RuleTable) -> list[Hit]:
     o, hits = t.options, []
     if name := t.first("date", "InvoiceDate"):

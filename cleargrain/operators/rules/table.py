@@ -27,10 +27,13 @@ RETAIL_TO_SALES = {
 
 @dataclass(frozen=True)
 class RuleOptions:
-    """Thresholds and reference data of the rules."""
+    """Thresholds and reference data of the rules.
+
+    ``date_formats`` None: the format of a text date column is inferred for each scope.
+    """
 
     as_of: dt.datetime | None = None
-    date_formats: Sequence[str] = DEFAULT_DATE_FORMATS
+    date_formats: Sequence[str] | None = None
     price_max: float = 100000
     quantity_max: float = 1000000
     discount_max: float = 100
@@ -82,8 +85,9 @@ class RuleTable:
     so each is computed once below the projection that holds the conditions.
     """
 
-    def __init__(self, df: DataFrame, meta: Sequence[str], options: RuleOptions):
+    def __init__(self, df: DataFrame, meta: Sequence[str], options: RuleOptions, times: Mapping[str, Column] | None = None):
         self.options = options
+        self.times = dict(times or {})
         self.types = {n: t for n, t in df.dtypes if n not in meta}
         self.columns = list(self.types)
         self.kind = dataset_kind(self.columns)
@@ -110,7 +114,9 @@ class RuleTable:
         return self._helper(f"__num_{name}{suffix}", number_view(self.raw(name), self.types[name], drop))
 
     def time(self, name: str) -> Column:
-        return self._helper(f"__day_{name}", date_view(self.raw(name), self.types[name], self.options.date_formats))
+        if name in self.times:
+            return self._helper(f"__day_{name}", self.times[name])
+        return self._helper(f"__day_{name}", date_view(self.raw(name), self.types[name], self.options.date_formats or DEFAULT_DATE_FORMATS))
 
     def stripped(self, name: str) -> Column:
         return self._helper(f"__txt_{name}", strip(self.raw(name).cast("string")))

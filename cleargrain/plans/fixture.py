@@ -123,6 +123,16 @@ select k,
 from {sales}
 """
 
+# Dates as five shops write them, with some that nobody can read.
+DATED_BODY = """
+select o_orderkey as k, 'shop' || cast(o_orderkey % 5 as string) as shop, cast(o_orderdate as date) as day,
+ case when o_orderkey % 97 = 0 then 'soon' when o_orderkey % 89 = 0 then null when o_orderkey % 83 = 0 then '99/99/2001'
+      else {text} end as date
+from {orders}
+"""
+SHOP_FORMATS = ["yyyy-MM-dd", "M/d/yyyy", "d/M/yyyy H:mm", "d.M.yyyy", "MMM d, yyyy"]
+SQL_SHOP_FORMATS = ["%Y-%m-%d", "%-m/%-d/%Y", "%-d/%-m/%Y %-H:%M", "%-d.%-m.%Y", "%b %-d, %Y"]
+
 SALES_COLUMNS = [
     "sale_id", "order_id", "customer_id", "product", "category", "price", "quantity", "discount", "total", "date",
     "order_date", "shipping_date", "email", "payment_method", "store", "city",
@@ -167,6 +177,12 @@ def retail_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(keyed(spark.sql(body, sales=sales(spark, sf_dir))), "retail")
 
 
+def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with the text date of their shop, stored once."""
+    text = "case o_orderkey % 5 " + " ".join(f"when {i} then date_format(o_orderdate, '{f}')" for i, f in enumerate(SHOP_FORMATS)) + " end"
+    return stage(keyed(spark.sql(DATED_BODY.replace("{text}", text), orders=table(spark, sf_dir, "orders"))), "dated")
+
+
 # ---- the same tables for the SQL counterparts -------------------------------------------------
 
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -207,3 +223,6 @@ SQL_WIDE = SQL_SALES + f", wide as ({EXTRA_BODY.format(sales='sales')})"
 SQL_RETAIL = SQL_SALES + ", retail as (" + RETAIL_BODY.format(sales="sales").replace(
     "strftime_mdy", "strftime(try_cast(date as date), '%m/%d/%Y %H:%M')"
 ) + ")"
+SQL_DATED = "dated as (" + DATED_BODY.replace("{orders}", "orders").replace("{text}", "case o_orderkey % 5 " + " ".join(
+    f"when {i} then strftime(o_orderdate, '{f}')" for i, f in enumerate(SQL_SHOP_FORMATS)
+) + " end") + ")"

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cleargrain.functions import standardize as S, vocabulary as V
 from cleargrain.functions.coerce import clean_rules, date_view, to_number
 from cleargrain.operators import corrections as C, ids, repair as R
+from cleargrain.operators.date_formats import clean_inferred, infer_formats, parse_dates
+from cleargrain.operators.rules.table import retail_as_sales
 from cleargrain.plans import fixture as X
 from cleargrain.session import stage
 
@@ -42,6 +44,24 @@ def repair_date(spark, sf_dir):
     return X.sales(spark, sf_dir).select("k", S.repaired_date(date_view(F.col("date"), "string"), as_of()).alias("date"))
 
 
+def repair_retail(spark, sf_dir):
+    rows = R.repair_values(retail_as_sales(X.retail_sales(spark, sf_dir)), as_of=as_of())
+    return rows.select("k", "price", "quantity", "date", "fix_date_missing_replaced", "fix_date_future_replaced")
+
+
+def infer_date_formats(spark, sf_dir):
+    return infer_formats(X.dated(spark, sf_dir), ["date"], ["shop"])
+
+
+def parse_dates_per_shop(spark, sf_dir):
+    rows, times, _ = parse_dates(X.dated(spark, sf_dir), ["date"], ["shop"])
+    return rows.select("k", "shop", times["date"].cast("date").alias("day"))
+
+
+def clean_dates_per_shop(spark, sf_dir):
+    return clean_inferred(X.dated(spark, sf_dir).drop("day"), ["shop"]).select("k", "shop", F.col("date").cast("timestamp").alias("date"))
+
+
 def with_row_id(spark, sf_dir):
     return X.numbered_sales(spark, sf_dir).select("k", "row_id")
 
@@ -158,6 +178,10 @@ QUERIES = {
     "std_payment": _one("payment_method", lambda: S.standard_payment(F.col("payment_method"))),
     "repair_email": repair_email,
     "repair_date": repair_date,
+    "repair_retail": repair_retail,
+    "infer_date_formats": infer_date_formats,
+    "parse_dates_per_shop": parse_dates_per_shop,
+    "clean_dates_per_shop": clean_dates_per_shop,
     "with_row_id": with_row_id,
     "impute_price_hierarchical": _impute("price"),
     "impute_quantity_hierarchical": _impute("quantity"),
@@ -322,6 +346,10 @@ _COUNTS = " union all ".join(
 )
 _PATCHED = f"with {X.SQL_SALES}, answers as ({CORRECTIONS}), joined as (select sales.*, response, json_valid(response) as readable from sales left join answers using (k))"
 
+_RETAIL_DAY = "try_strptime(InvoiceDate, '%m/%d/%Y %H:%M')"
+_FORMAT_OF_SHOP = "case right(shop, 1) " + " ".join(f"when '{i}' then '{f}'" for i, f in enumerate(X.SHOP_FORMATS)) + " end"
+_SHOP_DAY = "case when k % 97 = 0 or k % 89 = 0 or k % 83 = 0 then null else day end"
+
 ORACLES = {
     "clean_numeric": f"with {X.SQL_TYPED} select k, price, quantity, discount, total from typed",
     "clean_rules": f"with {X.SQL_TYPED} select * from typed",
@@ -331,6 +359,14 @@ ORACLES = {
     "std_store": f"with {X.SQL_SALES} select k, {STORE} as store from sales",
     "std_payment": f"with {X.SQL_SALES} select k, {PAYMENT} as payment_method from sales",
     "repair_email": f"with {X.SQL_NUMBERED} select k, row_id, {EMAIL} as email from numbered",
+    "repair_retail": f"""with {X.SQL_RETAIL},
+n as (select k, {X.sql_plain('UnitPrice')} as p, {X.sql_plain('Quantity')} as q, {_RETAIL_DAY} as day from retail),
+m as (select median(p) filter (p > 0) as mp, median(q) filter (q > 0) as mq from n)
+select k, case when p is null or p = 0 then coalesce(mp, 1.0) else abs(p) end as price, case when q is null or q = 0 then coalesce(mq, 1.0) else abs(q) end as quantity,
+ {_date('day')} as date, day is null as fix_date_missing_replaced, coalesce(day > {X.SQL_AS_OF}, false) as fix_date_future_replaced from n, m""",
+    "infer_date_formats": f"with {X.SQL_DATED} select shop, 'date' as \"column\", {_FORMAT_OF_SHOP} as format, count(date) as n_values from dated group by shop",
+    "parse_dates_per_shop": f"with {X.SQL_DATED} select k, shop, {_SHOP_DAY} as day from dated",
+    "clean_dates_per_shop": f"with {X.SQL_DATED} select k, shop, cast({_SHOP_DAY} as timestamp) as date from dated",
     "repair_date": f"with {X.SQL_TYPED} select k, {_date('date')} as date from typed",
     "with_row_id": f"with {X.SQL_NUMBERED} select k, row_id from numbered",
     "impute_price_hierarchical": f"{_SRC_K} select k, price, price_fill as fill_value from filled",

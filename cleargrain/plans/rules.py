@@ -85,6 +85,8 @@ class Source:
         return c if c in self.numbers else f"({X.sql_plain(c, drop)})"
 
     def day(self, c):
+        if c == "InvoiceDate":
+            return "try_strptime(InvoiceDate, '%m/%d/%Y %H:%M')"
         return f"cast({c} as timestamp)" if c in self.days else f"cast(({X.sql_date(c)}) as timestamp)"
 
     def part(self, *keys):
