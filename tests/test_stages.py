@@ -13,7 +13,7 @@ from cleargrain.operators.ensemble import ensemble_vote
 from cleargrain.operators.rules.table import RuleOptions
 from cleargrain.pipeline import load_trained, run_pipeline, train_on_files
 from cleargrain.sources import csv_files, sinks
-from cleargrain.streaming.watch import watch
+from cleargrain.streaming.watch import results, stream_events, watch
 
 OPTIONS = RuleOptions(as_of=dt.datetime(2024, 6, 1))
 DIRTY = "sale_id string, order_id string, product string, category string, price string, quantity string, total string, date string, store string, city string, email string, payment_method string"
@@ -132,6 +132,28 @@ def test_row_ids_follow_the_lines_across_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+@pytest.mark.parametrize("split", [40, 1 << 20])
+def test_records_with_line_breaks(spark, tmp_path, split):
+    write(f"{tmp_path}/a.csv", 'id,text,n\n1,"one\ntwo, ""q""\n\nend",3\n\n2,5" pipe,4\n3,"x",5\n4,"open\n",6\n5,"a""b",7\n')
+    write(f"{tmp_path}/b.csv", "id|text|id\r\n1|\"é\r\n|\"|7\r\n2||8\r\n", "iso-8859-1")
+    write(f"{tmp_path}/c.csv", "id;text\n\n1;\"a;b\"\n   \n2;c\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        rows = csv_files.scan_csv(spark, str(tmp_path)).collect()
+        stats = {os.path.basename(r.source_file): r.rows for r in csv_files.training_file_stats(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    got = sorted((os.path.basename(r.source_file), r.row_id, r.id, r.text, r["n"] or r["id.1"]) for r in rows)
+    assert got == [
+        ("a.csv", 0, "1", 'one\ntwo, "q"\n\nend', "3"), ("a.csv", 1, "2", '5" pipe', "4"), ("a.csv", 2, "3", "x", "5"), ("a.csv", 3, "4", "open\n", "6"),
+        ("a.csv", 4, "5", 'a"b', "7"), ("b.csv", 0, "1", "é\n|", "7"), ("b.csv", 1, "2", None, "8"), ("c.csv", 0, "1", "a;b", None), ("c.csv", 1, "2", "c", None),
+    ]
+    assert stats == {"a.csv": 5, "b.csv": 2, "c.csv": 2}
+
+
 def test_overlong_lines_are_skipped(spark, tmp_path):
     write(f"{tmp_path}/t.csv", "a,b\n1,2\n1,2,3\n4\n")
     rows = csv_files.scan_training_files(spark, str(tmp_path)).collect()
@@ -181,28 +203,67 @@ def test_training_is_stored_and_used(spark, tmp_path):
     assert found.filter("anomaly_confidence >= 1").count() == 20
 
 
-def test_stream_takes_each_file_once_and_survives_a_bad_batch(spark, tmp_path):
-    schema = "order_id string, product string, price string, quantity string, total string"
+def events_of(spark, path, wanted, seconds=20):
+    """Events of a log, once the listener has written those that are wanted."""
+    import time
+
+    for _ in range(seconds * 2):
+        found = [r.event for r in stream_events(spark, path).collect()]
+        if wanted <= set(found):
+            return found
+        time.sleep(0.5)
+    return found
+
+
+def test_stream_takes_each_file_once_and_survives_a_bad_file(spark, tmp_path):
     seen = []
 
     def handle(rows, path):
-        files = [os.path.basename(r.source_file) for r in rows.select("source_file").distinct().collect()]
-        seen.extend(files)
+        files = {os.path.basename(r.source_file) for r in rows.select("source_file").distinct().collect()}
         if "bad.csv" in files:
             raise ValueError("cannot read")
+        seen.append(files)
         assert rows.agg(F.max("row_id")).first()[0] == 39
+        rows.write.parquet(path + "/rows")
 
-    def run():
-        watch(spark, f"{tmp_path}/in", f"{tmp_path}/out", schema, OPTIONS, files_per_batch=1, handle=handle).awaitTermination()
+    def run(archive=None):
+        watch(spark, f"{tmp_path}/in", f"{tmp_path}/out", OPTIONS, handle=handle, archive_dir=archive).awaitTermination()
 
     write(f"{tmp_path}/in/a.csv", LINES)
     write(f"{tmp_path}/in/notes.txt", "no")
     run()
     write(f"{tmp_path}/in/bad.csv", LINES)
-    run()
+    write(f"{tmp_path}/in/empty.csv", "\n")
     write(f"{tmp_path}/in/c.csv", LINES)
+    write(f"{tmp_path}/in/d.csv", LINES.replace(",", ";"))
+    run()
     run()
-    assert seen == ["a.csv", "bad.csv", "c.csv"]
-    events = [r.event for r in sinks.read_events(spark, f"{tmp_path}/out/log").collect()]
-    assert events.count("processing_completed") == 2 and events.count("processing_failed") == 1
-    assert spark.read.parquet(f"{tmp_path}/out/quarantine/batch=1").count() == 1
+    assert seen == [{"a.csv"}, {"c.csv"}, {"d.csv"}]
+    events = events_of(spark, f"{tmp_path}/out", {"stream_started", "stream_progress", "stream_terminated"})
+    assert events.count("processing_completed") == 3 and events.count("processing_failed") == 2
+    assert {"stream_started", "stream_progress", "stream_terminated"} <= set(events)
+    bad = {os.path.basename(r.source_file): r.error for r in spark.read.json(f"{tmp_path}/out/quarantine").collect()}
+    assert bad["bad.csv"] == "cannot read" and "no records" in bad["empty.csv"]
+    assert results(spark, f"{tmp_path}/out", "rows").count() == 120
+
+
+def test_stream_reads_any_dialect_and_archives(spark, tmp_path):
+    turned = "quantity;price;note\n" + "".join(f'{i % 3};{i % 5};"é\n;{i}"\n' for i in range(20))
+    write(f"{tmp_path}/in/a.csv", LINES)
+    write(f"{tmp_path}/in/b.csv", turned, "iso-8859-1")
+    write(f"{tmp_path}/in/c.csv", "InvoiceNo\tStockCode\tUnitPrice\tQuantity\tInvoiceDate\n" + "".join(f"I{i}\tS\t{i + 1}\t2\t{i + 1}/1/2011 8:26\n" for i in range(12)))
+    write(f"{tmp_path}/old.csv", "price,quantity,has_anomaly\n" + "".join(f"{i},{i % 4},{i % 2 == 1}\n" for i in range(40)))
+    model, _ = train_on_files(spark, f"{tmp_path}/old.csv", f"{tmp_path}/model", numTrees=3, maxDepth=3)
+    for _ in range(2):  # files are moved when a later batch is planned
+        query = watch(spark, f"{tmp_path}/in", f"{tmp_path}/out", OPTIONS, model=model, archive_dir=f"{tmp_path}/archive", files_per_batch=1)
+        query.awaitTermination()
+        if not os.path.exists(f"{tmp_path}/in/d.csv"):
+            write(f"{tmp_path}/in/d.csv", LINES)
+    found = results(spark, f"{tmp_path}/out")
+    sizes = {os.path.basename(r.source_file): r["count"] for r in found.groupBy("source_file").count().collect()}
+    assert sizes == {"a.csv": 40, "b.csv": 20, "c.csv": 12, "d.csv": 40}
+    assert found.filter("note is not null").select("note").first().note.startswith("é\n;")
+    assert found.filter("ml_anomaly_score between 0 and 1").count() == 112
+    clean = results(spark, f"{tmp_path}/out", "clean_data")
+    assert {r.date for r in clean.filter("date is not null").select("date").collect()} == {f"2011-{i + 1:02d}-01" for i in range(12)}
+    assert any(name.endswith("a.csv") for _, _, files in os.walk(f"{tmp_path}/archive") for name in files)
