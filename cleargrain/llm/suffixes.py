@@ -30,6 +30,7 @@ LENGTH = 50
 SEED = 16
 _WIDTH = LENGTH - SEED + 1  # seeds of a string
 _CHUNK = 1 << 22  # bytes that are hashed at a time
+RUN_BYTES, HASH_BYTES = 1 << 20, 1 << 24  # bytes of documents for each bucket of runs and of hashes
 
 
 def _words(buffer: np.ndarray, at: np.ndarray | None = None, order: str = "<") -> np.ndarray:
@@ -326,11 +327,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """k, text_key, spans: byte ranges (start, end as pairs of 64-bit integers) to remove; several rows per document."""
     n = partitions(docs.sparkSession)
     few = max(1, n // 4)
-    hashes = byte_rows(docs).select("k", "text").mapInArrow(_send_hashes(few), schema_of(_HASHES))
+    # what a task holds at once is one bucket, so buckets follow the measured bytes and not the number of partitions
+    size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    run_buckets, hash_buckets = max(n, size // RUN_BYTES), max(few, size // HASH_BYTES)
+    hashes = byte_rows(docs).select("k", "text").mapInArrow(_send_hashes(hash_buckets), schema_of(_HASHES))
     # decided rows need no meeting, so they are dealt evenly
     met = hashes.repartition(few, dealt("h")).sortWithinPartitions("bucket")
     flags = met.mapInArrow(_shared, schema_of(_FLAGS)).groupBy("k").agg(F.collect_list("h").alias("flags"))
-    runs = packed_rows(docs).join(flags, "k").select("k", "text_key", "z", "flags").mapInArrow(_send_runs(n), schema_of(_RUNS))
+    runs = packed_rows(docs).join(flags, "k").select("k", "text_key", "z", "flags").mapInArrow(_send_runs(run_buckets), schema_of(_RUNS))
     return runs.repartition(n, dealt("z")).sortWithinPartitions("bucket").mapInArrow(_judge_runs, schema_of(_SPANS))
 
 
