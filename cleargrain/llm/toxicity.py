@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ STEPS, RATE, DECAY = 200, 0.1, 5e-5
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
+_PIECE = 1 << 18  # words that are counted at a time
 _REMEMBERED = 300_000  # words whose weight a task remembers
 
 
@@ -32,26 +34,29 @@ def _sentences(text: str | None) -> Iterator[tuple[int, int, set[str]]]:
             yield m.start(), m.end(), own
 
 
-def fit(texts: list[str | None], toxic: np.ndarray) -> dict[str, float]:
+def fit(rows: Iterable[tuple[str | None, float]]) -> dict[str, float]:
     """Weight of each feature, and of the bias under the empty string.
 
     A sentence's score is the logistic function of bias plus the weights of its distinct words' features; a document's is
-    the noisy-or of its sentences. Of all features those that tell the labels apart are used (_telling). Full-batch gradient steps (Adam) on the documents' log-likelihood with weight decay.
+    the noisy-or of its sentences. Of all features those that tell the labels apart are used (_telling). Full-batch
+    gradient steps (Adam) on the documents' log-likelihood with weight decay. ``rows`` gives (text, label); a text is let
+    go once its words are numbered.
     """
     vocabulary: dict[str, int] = {}
-    words, sentence, document, n = [], [], [], 0
-    for d, text in enumerate(texts):
+    words, sentence, document, toxic, n = array("i"), array("i"), array("i"), array("d"), 0
+    for d, (text, label) in enumerate(rows):
+        toxic.append(label)
         for _, _, own in _sentences(text):
             words.extend(vocabulary.setdefault(w, len(vocabulary)) for w in own)
             sentence.extend([n] * len(own))
             document.append(d)
             n += 1
-    words, sentence, document = (np.array(x, np.int32) for x in (words, sentence, document))
+    words, sentence, document = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (words, sentence, document))
     names: dict[str, int] = {}
     of_word = [[names.setdefault(f, len(names)) for f in _features(w)] for w in vocabulary]
     left = np.repeat(np.arange(len(of_word), dtype=np.int32), [len(x) for x in of_word])
     right = np.array([f for own in of_word for f in own], np.int32)
-    y = np.asarray(toxic, np.float64)
+    y = np.array(toxic, np.float64)
     keep = _telling(document[sentence], words, left, right, len(of_word), len(names), y)
     new = np.cumsum(keep) - 1
     left, right = left[keep[right]], new[right[keep[right]]]
@@ -84,15 +89,21 @@ def _telling(document: np.ndarray, words: np.ndarray, left: np.ndarray, right: n
     """
     if not n or not 0 < y.sum() < len(y):
         return np.zeros(n, bool)
-    seen = np.unique(document.astype(np.int64) * n_words + words)
     order = np.argsort(left, kind="stable")
-    starts = np.searchsorted(left[order], np.arange(n_words + 1))
-    own = seen % n_words
-    count = starts[own + 1] - starts[own]
-    at = np.repeat(starts[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    pairs = np.unique(np.repeat(seen // n_words, count) * n + right[order][at])
-    docs, feature = np.divmod(pairs, n)
-    both, some = np.bincount(feature, y[docs], n), np.bincount(feature, minlength=n).astype(np.float64)
+    starts, right = np.searchsorted(left[order], np.arange(n_words + 1)), right[order]
+    both, some, begin = np.zeros(n), np.zeros(n), 0
+    while begin < len(document):
+        # whole documents, about _PIECE words at a time; ``document`` never falls
+        end = max(np.searchsorted(document, document[min(begin + _PIECE, len(document)) - 1]), np.searchsorted(document, document[begin], "right"))
+        end = len(document) if begin + _PIECE >= len(document) else end
+        seen = np.unique(document[begin:end].astype(np.int64) * n_words + words[begin:end])
+        own = seen % n_words
+        count = starts[own + 1] - starts[own]
+        at = np.repeat(starts[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        docs, feature = np.divmod(np.unique(np.repeat(seen // n_words, count) * n + right[at]), n)
+        both += np.bincount(feature, y[docs], n)
+        some += np.bincount(feature, minlength=n)
+        begin = end
     share, ratio = y.mean(), np.zeros(n)
     for k, of, rate in ((both, some, share), (some - both, some, 1 - share), (y.sum() - both, len(y) - some, share), (len(y) - some - y.sum() + both, len(y) - some, 1 - share)):
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -101,9 +112,7 @@ def _telling(document: np.ndarray, words: np.ndarray, left: np.ndarray, right: n
 
 
 def _fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [x for b in batches for x in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("toxic").to_pylist())]
-    rows.sort(key=lambda r: (r[0], r[1] or ""))
-    model = fit([r[1] for r in rows], np.array([r[2] for r in rows], np.float64))
+    model = fit((text.as_py(), label.as_py()) for b in batches for text, label in zip(b.column("text"), b.column("toxic")))
     yield pa.RecordBatch.from_arrays([pa.array(list(model)), pa.array(list(model.values()), pa.float64())], ["feature", "weight"])
 
 
@@ -125,7 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> dict[
     drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < cut)
     # at most ``most`` rows of (id, label), up to chance, so the join's broadcast side and the fitting task are bounded
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
-    fitted = rows.repartition(1).mapInArrow(_fit_batches, "feature string, weight double").collect()
+    rows = rows.repartition(1).sortWithinPartitions("doc_id", "text")  # in one order, so that the fit is the same each time
+    fitted = rows.mapInArrow(_fit_batches, "feature string, weight double").collect()
     return {r[0]: r[1] for r in fitted} or {"": -30.0}
 
 
