@@ -165,14 +165,15 @@ def test_exact_deviations_beyond_64_bits():
 # -- lines
 
 GOOD = "This is an ordinary sentence about the weather in the hills, and it ends as it should."
+PROSE = "\n".join(" ".join(random.Random(i).choices([f"word{j}" for j in range(300)], k=18)) + "." for i in range(6))
 PAGES = [
-    (1, "\n".join(f"{GOOD[:-1]} number {i}, on day {i * 7}." for i in range(6))),
-    (2, "\n".join(f"{GOOD[:-1]} number {i}, on day {i * 7}." for i in range(6)) + "\nHome | About | Contact | Shop\nAll rights reserved.\nRead More here."),
+    (1, PROSE),
+    (2, PROSE + "\nHome | About | Contact | Shop\nAll rights reserved.\nRead More here."),
     (3, "\n".join(f"word{i}### other{i}&&& third{i}$$$ and{i}%%% more{i}***" for i in range(20))),
     (4, "short text."), (5, None), (6, ""), (7, " \n \t\n"), (8, "\n".join(["same line again and again."] * 30)),
     (9, "\n".join([GOOD] * 3 + ["Menu » Start » Help"] + ["no end here"] * 40)), (10, "\n\n" + GOOD + "\n\n" + GOOD + "\r\n" + GOOD + "\n"),
     (11, " ".join(f"w{i}" for i in range(30000))), (12, "a b c " * 20), (None, "é" * 60 + " " + " ".join(f"ü{i}" for i in range(60)) + "."),
-    (4, "short text."), (13, "\n".join(f"{GOOD[:-1]} number {i}, on day {i * 7}." for i in range(6)) + "\n" + "This site uses cookies to do things for you."),
+    (4, "short text."), (13, PROSE + "\nThis site uses cookies to do things for you."),
 ]
 
 
