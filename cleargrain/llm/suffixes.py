@@ -29,8 +29,8 @@ from cleargrain.llm.common import partitions
 LENGTH = 50
 SEED = 16
 _WIDTH = LENGTH - SEED + 1  # seeds of a string
-_CHUNK = 1 << 22  # bytes that are hashed at a time
-RUN_BYTES, HASH_BYTES = 1 << 20, 1 << 24  # bytes of documents for each bucket of runs and of hashes
+_CHUNK = 1 << 20  # bytes that are hashed at a time
+RUN_BYTES, HASH_BYTES = 1 << 22, 1 << 26  # bytes of documents for each bucket of runs and of hashes
 
 
 def _words(buffer: np.ndarray, at: np.ndarray | None = None, order: str = "<") -> np.ndarray:
