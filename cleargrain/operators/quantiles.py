@@ -1,8 +1,11 @@
-"""Exact quantiles in two passes, without holding a group in one task.
-
-Pass one is a bounded sketch per group that brackets each wanted quantile.
-Pass two counts the values below the bracket and tabulates the few inside it;
-the order statistics are then read off the running counts of that table.
+"""Exact quantiles without holding a group in one task.
+
+Pass one is a bounded sketch per group that brackets each wanted quantile. The
+last pass counts the values below the bracket and tabulates those inside it;
+the order statistics are then read off the running counts of that table. Where
+a group is so large that too many values would be inside, passes in between cut
+its bracket into CELLS cells, count them, and keep the cell with the wanted
+rank, so the table of a quantile stays below a fixed size on any data.
 """
 
 from __future__ import annotations
@@ -16,6 +19,9 @@ from cleargrain.session import stage
 
 ACCURACY = 10000
 MARGIN = 4 / ACCURACY
+INSIDE = 1 << 18  # values inside a bracket that one task may rank
+CELLS = 4096
+ROUNDS = 40  # a bracket shrinks CELLS times a round, unless equal values fill it
 
 
 def one_row(df: DataFrame) -> Column:
@@ -23,6 +29,63 @@ def one_row(df: DataFrame) -> Column:
     return df.select(F.struct(*df.columns)).scalar()
 
 
+def _entries(wanted: Mapping[str, tuple[str, float]], values: Sequence[str], places: Mapping[str, list[str]], bounds: Sequence[Column]) -> list[Column]:
+    """One struct (spec, x, lo, hi) for each wanted quantile."""
+    out = []
+    for spec, (name, (col, _)) in enumerate(wanted.items()):
+        at, pair = 2 * places[col].index(name), bounds[values.index(col)]
+        out.append(F.struct(F.lit(spec).alias("spec"), F.col(col).alias("x"), pair[at].alias("lo"), pair[at + 1].alias("hi")))
+    return out
+
+
+def _narrowed(
+    rows: DataFrame, sketch: DataFrame, by: list[str], wanted: Mapping[str, tuple[str, float]], values: list[str],
+    places: Mapping[str, list[str]], row_key: Sequence[str],
+) -> DataFrame:
+    """The sketch with brackets that hold INSIDE values at most, or values that are all equal.
+
+    Only groups whose bracket may hold more are read again; there are few of them, as each has many rows.
+    """
+    arrays = [f"__sk{i}" for i in range(len(values))]
+    keys = by or ["__all"]
+    left = sketch.select(*by, *([] if by else [F.lit(0).alias("__all")]), "__n", *arrays, (F.col("__n") * 2 * (MARGIN + 1 / ACCURACY)).alias("__inside"))
+    done = left.filter(F.col("__inside") <= INSIDE).drop("__inside")
+    left = stage(left.filter(F.col("__inside") > INSIDE), "brackets")
+    if left.isEmpty():
+        return sketch
+    if not by:
+        rows = rows.withColumn("__all", F.lit(0))
+    probs = F.element_at(F.array(*[F.lit(float(p)) for _, p in wanted.values()]), F.col("spec") + 1)
+    for _ in range(ROUNDS):
+        marked = attach(rows, left.drop("__inside"), keys, row_key=row_key if by else values, weight="__n", staged=True).filter(f"{arrays[0]} is not null")
+        long = marked.select(*keys, F.inline(F.array(*_entries(wanted, values, places, [F.col(a) for a in arrays])))).filter("x is not null")
+        # halves first, so that no difference overflows
+        share = (F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        cell = F.when(F.col("x") < F.col("lo"), -1).when(F.col("x") > F.col("hi"), CELLS + 1).when(F.col("hi") > F.col("lo"), F.floor(share * CELLS)).otherwise(0)
+        cells = long.groupBy(*keys, "spec", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
+        group = Window.partitionBy(*keys, "spec")
+        upto = group.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = cells.withColumns({"end": F.sum("n").over(upto), "pos": (F.sum("n").over(group) - 1) * probs}).withColumn("start", F.col("end") - F.col("n"))
+        low, high = ((F.col("start") <= r) & (r < F.col("end")) for r in (F.floor("pos"), F.ceil("pos")))
+        inside = ranked.filter(low | high).groupBy(*keys, "spec").agg(F.min("least").alias("lo"), F.max("most").alias("hi"), F.sum(F.when(F.col("least") < F.col("most"), F.col("n")).otherwise(0)).alias("n"))
+        table = inside.groupBy(*keys).agg(
+            F.max("n").alias("__inside"),
+            *[F.max(F.when(F.col("spec") == s, F.col(v))).alias(f"__{v}{s}") for s in range(len(wanted)) for v in ("lo", "hi")],
+        )
+        order = list(wanted)
+        fresh = [F.array(*[F.col(f"__{v}{order.index(name)}") for name in places[col] for v in ("lo", "hi")]).alias(a) for col, a in zip(values, arrays)]
+        found = stage(left.select(*keys, "__n").join(table, keys).select(*keys, "__n", *fresh, "__inside"), "brackets")
+        done = done.unionByName(found.filter(F.col("__inside") <= INSIDE).drop("__inside"))
+        left = stage(found.filter(F.col("__inside") > INSIDE), "brackets")
+        if left.isEmpty():
+            break
+    done = done.unionByName(left.drop("__inside"))
+    if by:
+        return stage(sketch.drop("__n", *arrays).join(done, by), "sketch")
+    one = sketch.drop("__n", *arrays).withColumn("__d", one_row(stage(done.drop("__all"), "brackets")))
+    return stage(one.select("*", *[F.col(f"__d.{c}").alias(c) for c in ("__n", *arrays)]).drop("__d"), "sketch")
+
+
 def exact_quantiles(
     df: DataFrame,
     by: Sequence[str],
@@ -52,6 +115,7 @@ def exact_quantiles(
     sketch = stage(df.groupBy(*by).agg(count_rows, *sketches, *extra), "sketch")
 
     narrow = df.select(*dict.fromkeys([*by, *values, *(row_key if by else [])]))
+    sketch = _narrowed(narrow, sketch, by, wanted, values, places, row_key)
     if by:
         marked = attach(narrow, sketch.select(*by, "__n", *[f"__sk{i}" for i in range(len(values))]), by,
                         row_key=row_key, weight="__n", staged=True)
@@ -60,15 +124,7 @@ def exact_quantiles(
         marked = narrow.withColumn("__s", one_row(sketch.select(*[f"__sk{i}" for i in range(len(values))])))
         bounds = [F.col(f"__s.__sk{i}") for i in range(len(values))]
 
-    entries = []
-    for spec, name in enumerate(names):
-        col = wanted[name][0]
-        at = 2 * places[col].index(name)
-        pair = bounds[values.index(col)]
-        entries.append(
-            F.struct(F.lit(spec).alias("spec"), F.col(col).alias("x"), pair[at].alias("lo"), pair[at + 1].alias("hi"))
-        )
-    long = marked.select(*by, F.inline(F.array(*entries))).filter("x is not null")
+    long = marked.select(*by, F.inline(F.array(*_entries(wanted, values, places, bounds)))).filter("x is not null")
     zone = F.when(F.col("x") < F.col("lo"), -1).when(F.col("x") > F.col("hi"), 1).otherwise(0)
     table = (
         long.withColumn("zone", zone)
