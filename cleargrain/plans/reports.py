@@ -15,11 +15,9 @@ from cleargrain.plans import fixture as X
 from cleargrain.plans.rules import PER_FILE, TYPED, scored_ctes
 from cleargrain.session import stage
 
-FAMILIES = ("missing", "numeric", "string_format", "business")
-
 
 def flagged(spark, sf_dir):
-    return stage(flag_rows(X.typed_sales(spark, sf_dir), FAMILIES, meta=["k"], options=X.OPTIONS), "flagged")
+    return stage(flag_rows(X.typed_sales(spark, sf_dir), meta=["k"], options=X.OPTIONS), "flagged")
 
 
 def voted(spark, sf_dir):
@@ -74,7 +72,7 @@ def class_missing_pct(spark, sf_dir):
 def run_summary(spark, sf_dir):
     rows = X.sales(spark, sf_dir).withColumn("source_file", F.concat(F.lit("shop-"), F.coalesce("store", F.lit("none"))))
     rows = stage(clean_rules(X.keyed(rows)), "typed")
-    rows = flag_rows(rows, FAMILIES, scope=["source_file"], meta=["k"], options=X.OPTIONS)
+    rows = flag_rows(rows, scope=["source_file"], meta=["k"], options=X.OPTIONS)
     return _rounded(R.run_summary(rows, 8.0, ["source_file"]), "anomaly_percentage")
 
 
@@ -226,7 +224,7 @@ TYPES = {c: "double" if c in ("price", "quantity", "discount", "total") else "da
 NUMBERS = [c for c, t in TYPES.items() if t == "double"]
 ALL = {"k": "bigint"} | TYPES
 _T = f"with {X.SQL_TYPED}"
-_VOTED = f"""with {scored_ctes(TYPED, FAMILIES)}, votes as (select scored.*, typed.* exclude (k),
+_VOTED = f"""with {scored_ctes(TYPED)}, votes as (select scored.*, typed.* exclude (k),
  case when price > 90000 or quantity > 45 then -1 else 1 end as iv, case when discount >= 9 then -1 else 1 end as mv,
  coalesce(1 - discount / 200, 0) as ml_anomaly_score, (case when scored.has_anomaly then 1 else 0 end) as rv
  from scored join typed using (k)),
@@ -235,7 +233,7 @@ voted as (select * replace ((anomaly_types <> '' and against > 0) as has_anomaly
  case when anomaly_types <> '' and against > 0 then -1 else 1 end as anomaly, 'ensemble' as anomaly_method,
  case when anomaly_types = '' then 0 else against end as anomaly_confidence from tally),
 classed as (select *, case when anomaly_confidence >= 2 then 1 else 0 end as is_anomaly from voted)"""
-_FLAGGED = f"with {scored_ctes(TYPED, FAMILIES)}"
+_FLAGGED = f"with {scored_ctes(TYPED)}"
 _TAGS = "select unnest(string_split(anomaly_types, '|')) as tag from scored"
 _ITEMS = "with items as (select case when l_returnflag = 'R' then 1 else 0 end as label, l_extendedprice / 105000 as score, case when l_extendedprice >= 52500 then 1 else 0 end as prediction from lineitem)"
 _CELLS = f"""{_ITEMS}, c as (select count(*) as n, {', '.join(f"sum((label = {c} and prediction = {c})::int)::double as h{c}, sum((prediction = {c})::int)::double as s{c}, sum((label = {c})::int)::double as r{c}" for c in (0, 1))} from items),
@@ -287,7 +285,7 @@ ORACLES = {
     "class_stats": f"{_VOTED} select is_anomaly, " + ", ".join(f"round(avg({c}), 4) as {c}_mean, round(stddev_samp({c}), 4) as {c}_std" for c in ("price", "quantity", "total", "discount")) + " from classed group by 1",
     "class_missing_pct": f"{_VOTED}, pct as (" + " union all ".join(f"select '{c}' as \"column\", count(*) filter (is_anomaly = 1 and {c} is null) / count(*) filter (is_anomaly = 1) * 100 as a, count(*) filter (is_anomaly = 0 and {c} is null) / count(*) filter (is_anomaly = 0) * 100 as b from classed" for c in X.SALES_COLUMNS) + ") select \"column\", round(a, 4) as anomaly_missing_pct, round(b, 4) as normal_missing_pct from pct order by a desc, \"column\" limit 10",
     "class_distribution": f"{_VOTED} select is_anomaly, count(*) as n_rows, round(count(*) / sum(count(*)) over () * 100, 4) as percentage from classed group by 1",
-    "run_summary": f"with {scored_ctes(PER_FILE, FAMILIES)} select source_file, count(*) as total_rows, 8.0::double as total_time, cast(floor(count(*) / 8.0) as bigint) as rows_per_second, count(*) filter (has_anomaly) as anomalies_found, round(count(*) filter (has_anomaly) / count(*) * 100, 4) as anomaly_percentage from scored group by 1",
+    "run_summary": f"with {scored_ctes(PER_FILE)} select source_file, count(*) as total_rows, 8.0::double as total_time, cast(floor(count(*) / 8.0) as bigint) as rows_per_second, count(*) filter (has_anomaly) as anomalies_found, round(count(*) filter (has_anomaly) / count(*) * 100, 4) as anomaly_percentage from scored group by 1",
     "text_features": f"with {X.SQL_SALES} select k, {_trio('product', 'product')}, {_trio('email', 'email')} from sales",
     "date_features": f"{_T} select k, {_dtrio('date', 'date')} from typed",
     "zscore": f"{_T} select k, round(abs((price - avg(price) over ()) / (stddev_samp(price) over () + 1e-8)), 6) as price_zscore from typed",

@@ -42,7 +42,7 @@ def classify_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anomaly_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flagged = stage(flag_rows(X.typed_sales(spark, sf_dir), ["numeric", "business"], meta=["k"], options=X.OPTIONS))
+    flagged = stage(flag_rows(X.typed_sales(spark, sf_dir), meta=["k"], options=X.OPTIONS))
     return add_score(flagged).select("k", "anomaly_flags", "anomaly_severity", "severity_weight", "anomaly_score")
 
 
@@ -323,7 +323,7 @@ ORACLES = {
     "classify_raw": f"with {scored_ctes(WIDE)} select {_FULL} from scored",
     "classify_retail": f"with {scored_ctes(RETAIL)} select {_FULL} from scored",
     "classify_per_file": f"with {scored_ctes(PER_FILE)} select source_file, {_FULL} from scored",
-    "anomaly_score": f"with {scored_ctes(TYPED, ('numeric', 'business'))} select k, anomaly_flags, anomaly_severity, severity_weight, anomaly_score from scored",
+    "anomaly_score": f"with {scored_ctes(TYPED)} select k, anomaly_flags, anomaly_severity, severity_weight, anomaly_score from scored",
     "check_missing": _family_sql("missing", TYPED),
     "check_types": _family_sql("types", WIDE),
     "check_numeric": _family_sql("numeric", WIDE),

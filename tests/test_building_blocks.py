@@ -108,3 +108,23 @@ def test_draws_keep_rows_without_a_label(spark):
     flipped = labels.flip_labels(rows, "label", ["row_id"]).collect()
     assert len(flipped) == 100 and sum(r.label is None for r in flipped) == 25
     assert sum(r.label == 1 for r in flipped) == 25
+
+
+def test_narrowed_quantiles(spark, monkeypatch):
+    """Brackets that are cut again and again give the same quantiles, on continuous values and on ties."""
+    from cleargrain.operators import quantiles as Q
+
+    monkeypatch.setattr(Q, "INSIDE", 5)
+    monkeypatch.setattr(Q, "CELLS", 8)
+    rows = spark.range(30000).select(
+        F.col("id").alias("row_id"), (F.col("id") % 2).alias("g"), F.exp(F.randn(1) * 40).alias("x"), F.when(F.col("id") % 10 < 7, F.lit(5.0)).otherwise(F.randn(2)).alias("y")
+    )
+    rows = rows.cache()
+    plain = rows.toPandas()
+    wanted = {"a": ("x", 0.25), "b": ("x", 0.95), "c": ("y", 0.5), "d": ("y", 0.05)}
+    for by, groups in (([], [(None, plain)]), (["g"], list(plain.groupby("g")))):
+        got = {r["g"] if by else None: r for r in Q.exact_quantiles(rows, by, wanted, [F.count(F.lit(1)).alias("n")]).collect()}
+        for key, own in groups:
+            assert got[key].n == len(own)
+            for name, (column, p) in wanted.items():
+                assert got[key][name] == pytest.approx(own[column].quantile(p), rel=1e-12)
