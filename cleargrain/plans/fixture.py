@@ -114,6 +114,19 @@ select *,
 from {sales}
 """
 
+# The wide table with empty cells and rows that are mostly empty.
+_HELD = ["k", "order_id", "product_id"]
+
+
+def holed_body() -> str:
+    cells = [f"case when k % 61 = 7 then null when k % 67 = {i + 3} then '' when k % 71 = {i + 2} then 'nan' else {c} end as {c}"
+             for i, c in enumerate([*SALES_COLUMNS, *EXTRA_COLUMNS]) if c not in _HELD]
+    return f"select {', '.join(_HELD)}, {', '.join(cells)} from {{wide}}"
+
+
+# The wide table with copies of some rows, which keep their key.
+COPIED_BODY = "select *, 0 as copy from {wide} union all select *, 1 as copy from {wide} where k % 47 = 5 union all select *, 2 as copy from {wide} where k % 94 = 5"
+
 RETAIL_BODY = """
 select k,
  case when k % 50 = 0 then 'C' || order_id else order_id end as InvoiceNo,
@@ -171,6 +184,17 @@ def wide_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(keyed(spark.sql(EXTRA_BODY, sales=sales(spark, sf_dir))), "wide")
 
 
+def holed_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide table with empty cells, stored once."""
+    return stage(keyed(spark.sql(holed_body(), wide=spark.sql(EXTRA_BODY, sales=sales(spark, sf_dir)))), "holed")
+
+
+def copied_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide table with copies of rows, stored once."""
+    rows = spark.sql(COPIED_BODY, wide=spark.sql(EXTRA_BODY, sales=sales(spark, sf_dir)))
+    return stage(rows.withColumn("row_id", F.col("k") * 4 + F.col("copy")).drop("copy"), "copied")
+
+
 def retail_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dirty table under retail column names, stored once."""
     body = RETAIL_BODY.replace("strftime_mdy", "date_format(try_cast(date as date), 'MM/dd/yyyy HH:mm')")
@@ -226,3 +250,5 @@ SQL_RETAIL = SQL_SALES + ", retail as (" + RETAIL_BODY.format(sales="sales").rep
 SQL_DATED = "dated as (" + DATED_BODY.replace("{orders}", "orders").replace("{text}", "case o_orderkey % 5 " + " ".join(
     f"when {i} then strftime(o_orderdate, '{f}')" for i, f in enumerate(SQL_SHOP_FORMATS)
 ) + " end") + ")"
+SQL_HOLED = SQL_WIDE + f", holed as ({holed_body().format(wide='wide')})"
+SQL_COPIED = SQL_WIDE + f", copied as (select * exclude (copy) from ({COPIED_BODY.format(wide='wide')}))"

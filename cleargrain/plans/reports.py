@@ -147,7 +147,7 @@ def combine_training(spark, sf_dir):
 
 
 def anti_split(spark, sf_dir):
-    orders = X.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    orders = X.table(spark, sf_dir, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
     return L.rest_of(X.table(spark, sf_dir, "customer"), orders, ["c_custkey"]).select("c_custkey", "c_name")
 
 
@@ -301,7 +301,7 @@ select row_id, sale_id_is_missing, product_is_missing, date_is_missing, store_is
     "label_encode": f"with {X.SQL_SALES} select value, row_number() over (order by value) - 1 as code, n_rows from (select coalesce(category, 'unknown') as value, count(*) as n_rows from sales group by 1)",
     "target_label": f"{_FLAGGED} select k, has_anomaly::int as label from scored",
     "combine_training": "select distinct * from (select c_nationkey as nation, c_mktsegment as segment, case when c_acctbal < 0 then -1 else 1 end as anomaly, c_acctbal < 0 as has_anomaly, null::boolean as in_credit from customer union all select s_nationkey, null, null, false, s_acctbal > 0 from supplier)",
-    "anti_split": "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders)",
+    "anti_split": "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 300000)",
     "stratified_split": f"{_ITEMS}, n as (select label, count(*) as n from items group by 1) select label, true as is_test, cast(ceil(n * 0.2::double) as bigint) as n_rows from n union all select label, false, n - cast(ceil(n * 0.2::double) as bigint) from n",
     "flip_labels": f"{_ITEMS}, n as (select count(*) as n, sum(label) as ones from items) select 1 as label, cast(ones - floor(ones * 0.5) as bigint) as n_rows from n union all select 0, cast(n - ones + floor(ones * 0.5) as bigint) from n",
     "mixed_dataset": f"{_FLAGGED}, n as (select count(*) as n, count(*) filter (has_anomaly) as bad from scored) select 0 as target_class, 'Normal' as class_name, cast(n - bad + ceil(bad * 0.5) as bigint) as n_rows from n union all select 1, 'Anomaly', cast(bad - ceil(bad * 0.5) as bigint) from n",

@@ -52,7 +52,7 @@ QUERIES = {
     "classify_retail": classify_retail,
     "classify_per_file": classify_per_file,
     "anomaly_score": anomaly_score,
-    "check_missing": _family("missing", X.typed_sales),
+    "check_missing": _family("missing", X.holed_sales),
     "check_types": _family("types", X.wide_sales),
     "check_numeric": _family("numeric", X.wide_sales),
     "check_string_format": _family("string_format", X.wide_sales),
@@ -62,7 +62,7 @@ QUERIES = {
     "check_business": _family("business", X.wide_sales),
     "check_product_category": _family("product_category", X.typed_sales),
     "check_cross_column": _family("cross_column", X.typed_sales),
-    "check_duplicates": _family("duplicates", X.wide_sales),
+    "check_duplicates": _family("duplicates", X.copied_sales),
     "check_outliers": _family("outliers", X.typed_sales),
     "check_advanced": _family("advanced", X.typed_sales),
     "check_retail": _family("retail", X.retail_sales),
@@ -103,6 +103,8 @@ RETAIL = Source(
     ["InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID", "Country", "Total"],
     False,
 )
+HOLED = Source(X.SQL_HOLED, "holed", ["order_id", "product_id", *[c for c in X.SALES_COLUMNS + X.EXTRA_COLUMNS if c not in ("order_id", "product_id")]], False)
+COPIED = Source(X.SQL_COPIED, "copied", X.SALES_COLUMNS + X.EXTRA_COLUMNS, False)
 PER_FILE = Source(
     X.SQL_TYPED + ", filed as (select *, 'shop-' || coalesce(store, 'none') as source_file from typed)",
     "filed", X.SALES_COLUMNS, True, "source_file",
@@ -324,7 +326,7 @@ ORACLES = {
     "classify_retail": f"with {scored_ctes(RETAIL)} select {_FULL} from scored",
     "classify_per_file": f"with {scored_ctes(PER_FILE)} select source_file, {_FULL} from scored",
     "anomaly_score": f"with {scored_ctes(TYPED)} select k, anomaly_flags, anomaly_severity, severity_weight, anomaly_score from scored",
-    "check_missing": _family_sql("missing", TYPED),
+    "check_missing": _family_sql("missing", HOLED),
     "check_types": _family_sql("types", WIDE),
     "check_numeric": _family_sql("numeric", WIDE),
     "check_string_format": _family_sql("string_format", WIDE),
@@ -334,7 +336,7 @@ ORACLES = {
     "check_business": _family_sql("business", WIDE),
     "check_product_category": _family_sql("product_category", TYPED),
     "check_cross_column": _family_sql("cross_column", TYPED),
-    "check_duplicates": _family_sql("duplicates", WIDE),
+    "check_duplicates": _family_sql("duplicates", COPIED),
     "check_outliers": _family_sql("outliers", TYPED),
     "check_advanced": _family_sql("advanced", TYPED),
     "check_retail": _family_sql("retail", RETAIL),
