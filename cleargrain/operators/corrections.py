@@ -20,12 +20,15 @@ def apply_json_patch(df: DataFrame, response: str) -> DataFrame:
     return parsed.withColumns(new).drop("__patch")
 
 
-def apply_corrections(df: DataFrame, corrections: DataFrame, key: str = "row_id") -> DataFrame:
+def apply_corrections(df: DataFrame, corrections: DataFrame, key: str = "row_id", order: str | None = None) -> DataFrame:
     """Patch the rows that have a correction (columns ``key`` and ``response``).
 
+    Of several answers for one key the last by ``order`` counts, by the text itself where that is equal or not given.
+
     Adds ``llm_correction_applied`` and keeps unreadable text in ``llm_raw_response``.
     """
-    answers = corrections.select(key, F.col("response").alias("__response"))
+    place = F.struct(*([order] if order else []), "response")
+    answers = corrections.filter("response is not null").groupBy(key).agg(F.max_by("response", place).alias("__response"))
     joined = attach(df, answers, [key], row_key=(key,))
     answered = F.col("__response").isNotNull()
     readable = F.from_json("__response", "map<string,string>").isNotNull()

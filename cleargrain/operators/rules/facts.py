@@ -15,9 +15,8 @@ from cleargrain.operators.keyed import attach
 from cleargrain.operators.quantiles import exact_quantiles, one_row
 from cleargrain.operators.rules.families import IDS
 from cleargrain.operators.rules.table import RuleTable
-from cleargrain.session import stage
+from cleargrain.session import BROADCAST_LIMIT_BYTES, stage
 
-MAPPING_LIMIT = 100_000  # entries of a catalogue given as a mapping that are still broadcast
 DETAIL = {"order_id": "total", "customer_id": "email"}
 
 
@@ -124,8 +123,11 @@ def attach_expected_category(df: DataFrame, t: RuleTable) -> DataFrame:
     keyed = df.withColumn("__product", F.lower(strip(t.raw("product"))))
     if isinstance(catalogue, Mapping):
         # a mapping lives on the driver, so its size is known
-        rows = df.sparkSession.createDataFrame(list(catalogue.items()), "__product string, __expected_category string")
-        return keyed.join(F.broadcast(rows) if len(catalogue) <= MAPPING_LIMIT else rows, "__product", "left")
+        size = sum(len(p.encode()) + len(c.encode()) + 48 for p, c in catalogue.items())
+        rows = df.sparkSession.createDataFrame(list(catalogue.items()), "product string, category string")
+        if size <= BROADCAST_LIMIT_BYTES:
+            return keyed.join(F.broadcast(rows.toDF("__product", "__expected_category")), "__product", "left")
+        catalogue = rows
     names = catalogue.select(F.col("product").alias("__product"), F.col("category").alias("__expected_category"))
     sizes = keyed.filter("__product is not null").groupBy("__product").agg(F.count(F.lit(1)).alias("__rows"))
     return attach(keyed, names.join(sizes, "__product"), ["__product"], weight="__rows")

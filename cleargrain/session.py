@@ -12,9 +12,9 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# A staged side is broadcast only when rows x row width stay below this.
+# A staged side is broadcast only when its measured size stays below this.
 BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
 
 _local_dir: str | None = None
@@ -90,14 +90,16 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_width(df: DataFrame) -> int:
-    """Planning estimate of one row in bytes (strings counted as 64)."""
-    fixed = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}
-    return 16 + sum(
-        64 if t == "string" else fixed.get(t, 8) if "<" not in t else 256 for _, t in df.dtypes
-    )
-
-
 def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
-    """Whether a staged table is small enough to broadcast; counts its rows."""
-    return df.count() * row_width(df) <= (BROADCAST_LIMIT_BYTES if limit is None else limit)
+    """Whether a staged table is small enough to broadcast, by its rows and the measured bytes of its texts and lists."""
+    fixed = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}
+    width, measured = 16, []
+    for i, (name, kind) in enumerate(df.dtypes):
+        c = F.col(f"`{name}`")
+        width += fixed.get(kind, 8)
+        if kind in ("string", "binary"):
+            measured.append(F.sum(F.octet_length(c).cast("bigint")).alias(f"b{i}"))
+        elif "<" in kind:  # an entry is 8 bytes or more, also where its text is shorter
+            measured.append(F.sum(4 * F.octet_length(F.to_json(F.struct(c))).cast("bigint")).alias(f"b{i}"))
+    rows, *sizes = df.agg(F.count(F.lit(1)), *measured).first()
+    return rows * width + sum(x or 0 for x in sizes) <= (BROADCAST_LIMIT_BYTES if limit is None else limit)

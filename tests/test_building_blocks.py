@@ -128,3 +128,11 @@ def test_narrowed_quantiles(spark, monkeypatch):
             assert got[key].n == len(own)
             for name, (column, p) in wanted.items():
                 assert got[key][name] == pytest.approx(own[column].quantile(p), rel=1e-12)
+
+
+def test_broadcast_goes_by_measured_bytes(spark):
+    from cleargrain.session import fits_broadcast
+
+    few = spark.range(1000).select("id", F.repeat(F.lit("x"), 100_000).alias("text"))
+    assert not fits_broadcast(few) and fits_broadcast(few.select("id")) and not fits_broadcast(few.select(F.array("text").alias("list")))
+    assert fits_broadcast(few.limit(10))

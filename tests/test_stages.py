@@ -74,6 +74,31 @@ def test_corrections(frame, spark):
     assert tuple(corrections.correction_counts(out).first()) == (2, 1, 1)
 
 
+def test_last_correction_of_a_key_wins(frame, spark):
+    df = frame("price double", [(1.0,), (2.0,)])
+    answers = spark.createDataFrame([(0, '{"price": "9"}', 1), (0, '{"price": "3"}', 2), (1, None, 1)], "row_id bigint, response string, at int")
+    assert [r.price for r in corrections.apply_corrections(df, answers, order="at").orderBy("row_id").collect()] == [3.0, 2.0]
+    assert [r.price for r in corrections.apply_corrections(df, answers).orderBy("row_id").collect()] == [9.0, 2.0]
+
+
+DATES = [("a", "1/13/2011 8:26"), ("a", "2/1/2011 10:00"), ("a", "soon"), ("b", "13.1.2011"), ("b", None), ("b", "1.2.2011"), ("c", "later"), ("d", "2011-01-13"), ("e", "13/1/2011"), ("e", "1/2/2011")]
+
+
+def test_formats_are_inferred_for_each_scope(frame):
+    from cleargrain.operators.date_formats import infer_formats, parse_dates
+
+    df = frame("shop string, date string", DATES)
+    found = {r.shop: r.format for r in infer_formats(df, ["date"], ["shop"]).collect()}
+    assert found == {"a": "M/d/yyyy H:mm", "b": "d.M.yyyy", "c": None, "d": "yyyy-MM-dd", "e": "d/M/yyyy"}
+    rows, times, timed = parse_dates(df, ["date"], ["shop"])
+    got = [str(r.day) for r in rows.select("row_id", times["date"].cast("date").alias("day")).orderBy("row_id").collect()]
+    assert timed and got == ["2011-01-13", "2011-02-01", "None", "2011-01-13", "None", "2011-02-01", "None", "2011-01-13", "2011-01-13", "2011-02-01"]
+    # without scopes the majority decides for all, and an empty table has no format
+    assert infer_formats(df, ["date"]).first().format in ("M/d/yyyy H:mm", "d.M.yyyy", "d/M/yyyy", "M/d/yyyy")
+    rows, times, _ = parse_dates(df.limit(0), ["date"], ["shop"])
+    assert rows.select(times["date"]).count() == 0
+
+
 def test_vote_needs_a_tag(spark):
     schema = "has_anomaly boolean, anomaly_types string, isolation_vote int, m int, s double"
     df = spark.createDataFrame([(True, "a|", 1, -1, 0.3), (False, "", -1, -1, 0.1), (False, "b|", 1, 1, 0.9), (False, "b|", -1, 1, 0.9)], schema)
