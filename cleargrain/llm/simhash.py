@@ -9,10 +9,10 @@ from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cleargrain.llm.common import ascii_lower, join_groups
+from cleargrain.llm.common import ascii_lower, join_groups, partitions
 from cleargrain.llm.components import connected_components
 from cleargrain.session import stage
 
@@ -196,7 +196,8 @@ def near_classes(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFram
     )
 
 
-COMPARED = 2000  # members that meet one copy of their group's first text
+COMPARED = 2000  # members that meet one copy of their group's leaders
+LEADERS = 64
 
 
 def _shingle_set(words: int) -> Column:
@@ -205,26 +206,45 @@ def _shingle_set(words: int) -> Column:
     return F.expr(f"array_distinct(if(size(w) < {words}, array(xxhash64(w)), transform(sequence(0, size(w) - {words}), i -> xxhash64({run}))))")
 
 
+def _like(similarity: float, a: Column, b: Column) -> Column:
+    common = F.size(F.array_intersect(a, b))
+    return common >= similarity * (F.size(a) + F.size(b) - common)
+
+
 def _confirmed(members: DataFrame, similarity: float) -> DataFrame:
-    """Rows (place, component, size, set) of stored groups that repeat an earlier one of their group.
+    """Rows (place, component, set) of stored groups that repeat an earlier one of their group; the places of those.
 
-    In each round the first row of every group stays, and the rows whose sets have at least ``similarity`` (Jaccard) with
-    it are repeats; the others form the group of the next round, so a round is linear in the rows. The first row is dealt
-    in copies to COMPARED members each, which splits large groups. Rounds end when no group has two rows left.
+    In each round the first rows of every group are its leaders. They are settled one after another: a leader that has at
+    least ``similarity`` (Jaccard) with an earlier one that stays is a repeat. The other rows meet the leaders that stay;
+    those without a match go on to the next round, so all rows are settled as if taken in order. There is one leader at
+    first, which ends most groups, then eight, then LEADERS, so a group of m unlike texts takes m / LEADERS rounds. The
+    leaders are dealt in copies to COMPARED members each, which splits large groups.
     """
-    out, left = None, members
+    out, left, n, parts = None, members, 1, partitions(members.sparkSession)
     while left.limit(1).count():
-        sizes = left.groupBy("component").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-        sizes = stage(sizes, "near-sizes")
-        first = left.join(sizes.select("first", F.col("component").alias("c"), "size"), F.col("place") == F.col("first"))
-        first = first.select("component", "first", F.col("set").alias("own"), F.explode(F.expr(f"sequence(0L, size div {COMPARED})")).alias("salt"))
-        salted = left.join(sizes, "component").filter("place <> first").withColumn("salt", F.expr(f"pmod(xxhash64(place), 1 + size div {COMPARED})"))
-        both = salted.drop("first", "size").join(first, ["component", "salt"])
-        common = F.size(F.array_intersect("set", "own"))
-        judged = both.select("place", "component", "set", (common >= similarity * (F.size("set") + F.size("own") - common)).alias("repeats"))
+        # the first of every part of a group, then the first of those, so that no task ranks a whole group
+        part = F.pmod(F.xxhash64("place"), F.lit(parts))
+        ranked = left.select("component", "place", part.alias("part"))
+        for by in (["component", "part"], ["component"]):
+            ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("place"))).filter(F.col("rank") <= n)
+        sizes = left.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        led = F.array_sort(F.collect_list(F.struct("place", "set")))
+        groups = ranked.select("place").join(left, "place").groupBy("component").agg(led.alias("led")).join(sizes, "component")
+        staying = F.aggregate(
+            "led", F.filter("led", lambda x: F.lit(False)),
+            lambda kept, x: F.when(F.exists(kept, lambda k: _like(similarity, k["set"], x["set"])), kept).otherwise(F.array_append(kept, x)),
+        )
+        groups = stage(groups.select("component", "size", F.element_at("led", -1)["place"].alias("last"), staying.alias("kept")), "near-leaders")
+        copies = groups.select("component", "last", "kept", F.explode(F.expr(f"sequence(0L, size div {COMPARED})")).alias("salt"))
+        salted = left.join(groups.select("component", "size"), "component").withColumn("salt", F.expr(f"pmod(xxhash64(place), 1 + size div {COMPARED})"))
+        both = salted.drop("size").join(copies, ["component", "salt"])
+        leads = F.col("place") <= F.col("last")
+        stays = F.exists("kept", lambda k: k["place"] == F.col("place"))
+        match = F.exists("kept", lambda k: _like(similarity, k["set"], F.col("set")))
+        judged = both.select("place", "component", "set", leads.alias("leads"), F.when(leads, ~stays).otherwise(match).alias("repeats"))
         judged = stage(judged, "near-judged")
-        found, left = judged.filter("repeats").select("place"), judged.filter("not repeats").drop("repeats")
-        out = found if out is None else out.unionByName(found)
+        found, left = judged.filter("repeats").select("place"), judged.filter("not repeats and not leads").select("place", "component", "set")
+        out, n = found if out is None else out.unionByName(found), min(LEADERS, 8 * n)
     return members.limit(0).select("place") if out is None else out
 
 

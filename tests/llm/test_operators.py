@@ -387,3 +387,23 @@ def test_near_copies_go(spark, docs, empty):
     assert got.columns == docs.columns
     assert sorted((r.doc_id for r in got.collect()), key=repr) == sorted((classes[x][1] for x in kept), key=repr)
     assert simhash.near_dedup(empty).count() == 0
+
+
+def test_confirmed_copies_in_large_groups(spark, monkeypatch):
+    """Groups of many unlike texts and of many copies are settled as if row by row, in few rounds."""
+    monkeypatch.setattr(simhash, "LEADERS", 8)
+    monkeypatch.setattr(simhash, "COMPARED", 20)
+    rng, rows = random.Random(3), []
+    for i in range(240):
+        own = set(range(1000 * (i % 40), 1000 * (i % 40) + 30)) if i % 2 else {rng.randrange(10**6) for _ in range(20)}
+        rows.append((i, i % 3 if i < 200 else 9, sorted(own - {rng.choice(sorted(own))})))
+    members = spark.createDataFrame(rows, "place bigint, component int, set array<bigint>").repartition(3).cache()
+    stay, gone = {}, set()
+    for place, component, own in rows:
+        kept = stay.setdefault(component, [])
+        if any(len(k & set(own)) >= 0.8 * len(k | set(own)) for k in kept):
+            gone.add(place)
+        else:
+            kept.append(set(own))
+    assert {r.place for r in simhash._confirmed(members, 0.8).collect()} == gone and len(gone) > 30
+    assert simhash._confirmed(members.limit(0), 0.8).count() == 0
