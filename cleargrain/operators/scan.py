@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cleargrain.session import stage
 
 BUCKET_WIDTH = 1 << 18
+MANY_BUCKETS = 1 << 17  # totals of one group that one task may accumulate
 
 
 def running(
@@ -24,19 +25,32 @@ def running(
     order: Sequence[str],
     sums: Mapping[str, Column] | None = None,
     maxes: Mapping[str, Column] | None = None,
+    sparse: bool = False,
 ) -> DataFrame:
     """Add inclusive running sums and maxima along ``order`` within ``by``.
 
     ``bucket`` must never decrease along ``order``. Rows whose ``by`` is null form a group of their own, and rows with a
-    null bucket come first.
+    null bucket come first. With ``sparse``, buckets are counted first; where a group has more than MANY_BUCKETS of them,
+    as with far-apart numbers, the rows are cut into ranges of equal numbers of rows in their place.
     """
     by = list(by)
     sums, maxes = dict(sums or {}), dict(maxes or {})
+
+    def summed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*by, "__bucket").agg(
+            *[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()],
+            *[F.max(c).alias(f"__t_{n}") for n, c in maxes.items()],
+        )
+
     cut = df.withColumn("__bucket", bucket)
-    totals = cut.groupBy(*by, "__bucket").agg(
-        *[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()],
-        *[F.max(c).alias(f"__t_{n}") for n, c in maxes.items()],
-    )
+    totals = summed(cut)
+    if sparse:
+        totals = stage(totals, "bucket-totals")
+        most = totals.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        if most > MANY_BUCKETS:
+            parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            cut = stage(df.repartitionByRange(parts, *by, *order).withColumn("__bucket", F.spark_partition_id()), "ranges")
+            totals = summed(cut)
     before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
         *[F.col(c).alias(f"__k{i}") for i, c in enumerate([*by, "__bucket"])],

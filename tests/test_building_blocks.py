@@ -136,3 +136,16 @@ def test_broadcast_goes_by_measured_bytes(spark):
     few = spark.range(1000).select("id", F.repeat(F.lit("x"), 100_000).alias("text"))
     assert not fits_broadcast(few) and fits_broadcast(few.select("id")) and not fits_broadcast(few.select(F.array("text").alias("list")))
     assert fits_broadcast(few.limit(10))
+
+
+def test_allocation_among_far_apart_ids(spark, monkeypatch):
+    """Ids of eighteen digits, each in a bucket of its own, are cut into ranges of equal numbers of rows."""
+    monkeypatch.setattr(scan, "MANY_BUCKETS", 3)
+    rnd = random.Random(9)
+    used = [rnd.randrange(10**17, 10**18) for _ in range(200)]
+    used += [u + k for u in used[:20] for k in (1, 2, 4)]
+    asks = [(rnd.choice([*used[:40], 1, rnd.randrange(1, 10**18)]), i) for i in range(60)]
+    existing = spark.createDataFrame([(u,) for u in used], "number bigint")
+    requests = spark.createDataFrame([(i, s) for s, i in asks], "row_id bigint, start bigint")
+    got = {r.row_id: r.number for r in ids.allocate_numbers(existing, requests, width=8).collect()}
+    assert got == greedy(used, asks)

@@ -14,6 +14,7 @@ SF_DIR = os.environ.get("CLEARGRAIN_SF_DIR", "/root/testdata/sf0.001")
 SOME = [
     "classify_anomalies", "check_duplicates", "check_retail", "std_category", "std_city", "repair_total", "dedupe_order_id",
     "describe_numeric", "tag_frequency", "features_train", "roc_auc", "classification_report", "scan_csv", "last_event",
+    "repair_retail", "infer_date_formats", "parse_dates_per_shop", "training_file_stats", "check_missing", "anti_split",
 ]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("CLEARGRAIN_ALL") else SOME
 

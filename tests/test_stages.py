@@ -280,7 +280,7 @@ def test_stream_reads_any_dialect_and_archives(spark, tmp_path):
     write(f"{tmp_path}/old.csv", "price,quantity,has_anomaly\n" + "".join(f"{i},{i % 4},{i % 2 == 1}\n" for i in range(40)))
     model, _ = train_on_files(spark, f"{tmp_path}/old.csv", f"{tmp_path}/model", numTrees=3, maxDepth=3)
     for _ in range(2):  # files are moved when a later batch is planned
-        query = watch(spark, f"{tmp_path}/in", f"{tmp_path}/out", OPTIONS, model=model, archive_dir=f"{tmp_path}/archive", files_per_batch=1)
+        query = watch(spark, f"{tmp_path}/in", f"{tmp_path}/out", OPTIONS, model=model, archive_dir=f"{tmp_path}/archive")
         query.awaitTermination()
         if not os.path.exists(f"{tmp_path}/in/d.csv"):
             write(f"{tmp_path}/in/d.csv", LINES)
