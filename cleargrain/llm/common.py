@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,17 @@ from pyspark.sql import functions as F
 HEAVY_SHARE = 1000
 
 
+_kept: dict = {}
+
+
+def keep_one(key: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from one task to the next: ``make()``, until another operator of the worker asks."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

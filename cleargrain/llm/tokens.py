@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import os
 import string
 import zlib
@@ -14,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cleargrain.llm.common import partitions
+from cleargrain.llm.common import keep_one, partitions
 from cleargrain.session import staged_path
 
 BLOCK = 128  # ids of a block
@@ -170,10 +169,9 @@ class Encoder:
         return b"".join(ids)
 
 
-@functools.lru_cache(1)
 def _encoder(path: str, end_id: int) -> Encoder:
     """One encoder for all tasks of a worker."""
-    return Encoder(path, end_id)
+    return keep_one(("encoder", path, end_id), lambda: Encoder(path, end_id))
 
 
 def _segments(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

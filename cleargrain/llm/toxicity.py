@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cleargrain.llm.common import keep_one
+
 # The model is fitted in one task; this many labelled documents at most are drawn for it, by a hash of doc_id.
 MAX_LABELLED = 12_000
 PREFIXES = (4, 5, 6)  # beside the word itself, its first letters are features
@@ -53,13 +55,24 @@ def fit(rows: Iterable[tuple[str | None, float]]) -> dict[str, float]:
             n += 1
     words, sentence, document = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (words, sentence, document))
     names: dict[str, int] = {}
-    of_word = [[names.setdefault(f, len(names)) for f in _features(w)] for w in vocabulary]
-    left = np.repeat(np.arange(len(of_word), dtype=np.int32), [len(x) for x in of_word])
-    right = np.array([f for own in of_word for f in own], np.int32)
+    size_of, right = array("i"), array("i")
+    for w in vocabulary:
+        own = _features(w)
+        size_of.append(len(own))
+        right.extend(names.setdefault(f, len(names)) for f in own)
+    n_words = len(vocabulary)
+    left = np.repeat(np.arange(n_words, dtype=np.int32), np.array(size_of, np.int64))
+    right = np.array(right, np.int32)
     y = np.array(toxic, np.float64)
-    keep = _telling(document[sentence], words, left, right, len(of_word), len(names), y)
+    keep = _telling(document[sentence], words, left, right, n_words, len(names), y)
+    kept = [f for f, k in zip(names, keep) if k]
+    del names, vocabulary
     new = np.cumsum(keep) - 1
     left, right = left[keep[right]], new[right[keep[right]]]
+    # words without any feature that is used add nothing to their sentence
+    used = np.zeros(n_words, bool)
+    used[left] = True
+    words, sentence = words[used[words]], sentence[used[words]]
     size = int(keep.sum())
     rate = min(max(y.mean() if len(y) else 0.0, 1e-3), 0.5)
     theta = np.zeros(size + 1)
@@ -68,16 +81,15 @@ def fit(rows: Iterable[tuple[str | None, float]]) -> dict[str, float]:
     for step in range(1, STEPS + 1):
         if not n:
             break
-        by_word = np.bincount(left, theta[right], len(of_word))
+        by_word = np.bincount(left, theta[right], n_words)
         s = 1 / (1 + np.exp(-np.clip(np.bincount(sentence, by_word[words], n) + theta[size], -30, 30)))
         p = 1 - np.exp(np.bincount(document, np.log1p(-s * (1 - 1e-9)), len(y)))
         pull = s * ((p - y) / np.maximum(p, 1e-9))[document]
         grad = np.zeros_like(theta)
-        grad[:size] = np.bincount(right, np.bincount(words, pull[sentence], len(of_word))[left], size) / len(y) + DECAY * theta[:size]
+        grad[:size] = np.bincount(right, np.bincount(words, pull[sentence], n_words)[left], size) / len(y) + DECAY * theta[:size]
         grad[size] = pull.sum() / len(y)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    kept = [f for f, k in zip(names, keep) if k]
     return {"": float(theta[size])} | {f: float(w) for f, w in zip(kept, theta) if abs(w) > 1e-3}
 
 
@@ -112,6 +124,7 @@ def _telling(document: np.ndarray, words: np.ndarray, left: np.ndarray, right: n
 
 
 def _fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keep_one("toxicity", dict)  # the fit needs the room of what an earlier operator left in this worker
     model = fit((text.as_py(), label.as_py()) for b in batches for text, label in zip(b.column("text"), b.column("toxic")))
     yield pa.RecordBatch.from_arrays([pa.array(list(model)), pa.array(list(model.values()), pa.float64())], ["feature", "weight"])
 
@@ -169,6 +182,7 @@ def scorer(spark, model: dict[str, float]) -> Callable[[Column | str], Column]:
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        keep_one("toxicity", dict)
         own = Scorer(sent.value)
         for texts in batches:
             yield texts.map(own.document, na_action=None).astype("float64")
