@@ -30,6 +30,7 @@ LENGTH = 50
 SEED = 16
 _WIDTH = LENGTH - SEED + 1  # seeds of a string
 _CHUNK = 1 << 20  # bytes that are hashed at a time
+LEAST_TASKS = 12  # tasks in which hashes meet, at least
 RUN_BYTES, HASH_BYTES = 1 << 22, 1 << 26  # bytes of documents for each bucket of runs and of hashes
 
 
@@ -326,7 +327,7 @@ def _cut(keep: bool) -> Callable[[Batches], Batches]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """k, text_key, spans: byte ranges (start, end as pairs of 64-bit integers) to remove; several rows per document."""
     n = partitions(docs.sparkSession)
-    few = max(1, n // 4)
+    few = max(LEAST_TASKS, n // 4)
     # what a task holds at once is one bucket, so buckets follow the measured bytes and not the number of partitions
     size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     run_buckets, hash_buckets = max(n, size // RUN_BYTES), max(few, size // HASH_BYTES)
