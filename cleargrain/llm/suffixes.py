@@ -30,7 +30,7 @@ LENGTH = 50
 SEED = 16
 _WIDTH = LENGTH - SEED + 1  # seeds of a string
 _CHUNK = 1 << 20  # bytes that are hashed at a time
-LEAST_TASKS = 12  # tasks in which hashes meet, at least
+LEAST_TASKS, LEAST_BUCKETS = 12, 64  # tasks in which hashes meet and buckets of runs, at least
 RUN_BYTES, HASH_BYTES = 1 << 22, 1 << 26  # bytes of documents for each bucket of runs and of hashes
 
 
@@ -330,7 +330,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     few = max(LEAST_TASKS, n // 4)
     # what a task holds at once is one bucket, so buckets follow the measured bytes and not the number of partitions
     size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
-    run_buckets, hash_buckets = max(n, size // RUN_BYTES), max(few, size // HASH_BYTES)
+    run_buckets, hash_buckets = max(n, LEAST_BUCKETS, size // RUN_BYTES), max(few, size // HASH_BYTES)
     hashes = byte_rows(docs).select("k", "text").mapInArrow(_send_hashes(hash_buckets), schema_of(_HASHES))
     # decided rows need no meeting, so they are dealt evenly
     met = hashes.repartition(few, dealt("h")).sortWithinPartitions("bucket")
