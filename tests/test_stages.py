@@ -12,6 +12,7 @@ from cleargrain.operators import corrections, evaluate, forest, repair
 from cleargrain.operators.ensemble import ensemble_vote
 from cleargrain.operators.rules.table import RuleOptions
 from cleargrain.pipeline import load_trained, run_pipeline, train_on_files
+from cleargrain.plans import reports
 from cleargrain.sources import csv_files, sinks
 from cleargrain.streaming.watch import results, stream_events, watch
 
@@ -292,3 +293,12 @@ def test_stream_reads_any_dialect_and_archives(spark, tmp_path):
     clean = results(spark, f"{tmp_path}/out", "clean_data")
     assert {r.date for r in clean.filter("date is not null").select("date").collect()} == {f"2011-{i + 1:02d}-01" for i in range(12)}
     assert any(name.endswith("a.csv") for _, _, files in os.walk(f"{tmp_path}/archive") for name in files)
+
+
+def test_anti_split_reads_all_orders(spark, tmp_path):
+    """A customer with a cheap order is no remainder; one without any order is."""
+    customers = [(1, "cheap"), (2, "none"), (3, "dear")]
+    spark.createDataFrame(customers, "c_custkey bigint, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(1, 10.0), (3, 400000.0), (3, 20.0)]
+    spark.createDataFrame(orders, "o_custkey bigint, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    assert [tuple(r) for r in reports.anti_split(spark, str(tmp_path)).collect()] == [(2, "none")]
