@@ -19,6 +19,7 @@ from cleargrain.session import stage
 BITS = 64
 SEED = 42
 PROBE_COST = 20.0  # what one probe costs, in candidate comparisons: it is shuffled, a candidate only compared
+DRAWN = 16  # fingerprints of a key that all others with the key meet first
 
 
 def fingerprint(data: bytes | None, words: int) -> int:
@@ -159,20 +160,65 @@ def _key(part: Part, i: int, flip: int = 0) -> Column:
     return F.struct(F.lit(i).alias("part"), (key.bitwiseXOR(F.lit(flip)) if flip else key).alias("key"))
 
 
-def links(prints: DataFrame, distance: int) -> DataFrame:
-    """Pairs (a, b) of the distinct stored fingerprints (column print) that differ in at most ``distance`` bits."""
-    parts = plan_parts(prints, distance)
-    stored = prints.select(F.col("print").alias("b"), F.explode(F.array(*[_key(p, i) for i, p in enumerate(parts)])).alias("k"))
+def _stored(rows: DataFrame, parts: list[Part]) -> DataFrame:
+    """(b, rb, k): the fingerprints (print) and their roots by their key in each part."""
+    keys = F.array(*[_key(p, i) for i, p in enumerate(parts)])
+    return rows.select(F.col("print").alias("b"), F.col("root").alias("rb"), F.explode(keys).alias("k"))
+
+
+def _probes(rows: DataFrame, parts: list[Part]) -> DataFrame:
+    """(a, ra, k): the fingerprints and their roots by all keys within the threshold of each part."""
     flips = [(i, p.mask, f) for i, p in enumerate(parts) for f in p.flips()]
     table = ", ".join(f"named_struct('part', {i}, 'mask', {_long(m)}, 'flip', {_long(f)})" for i, m, f in flips)
-    probes = prints.select(F.col("print").alias("a"), F.explode(F.expr(f"array({table})")).alias("p")).select(
-        "a", F.struct(F.col("p.part").alias("part"), F.expr("(a & p.mask) ^ p.flip").alias("key")).alias("k")
+    return rows.select(F.col("print").alias("a"), F.col("root").alias("ra"), F.explode(F.expr(f"array({table})")).alias("p")).select(
+        "a", "ra", F.struct(F.col("p.part").alias("part"), F.expr("(a & p.mask) ^ p.flip").alias("key")).alias("k")
     )
-    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    found = probes.alias("x").join(stored.alias("y"), (F.col("x.k.part") == F.col("y.k.part")) & (F.col("x.k.key") == F.col("y.k.key")) & (F.col("a") < F.col("b")) & close)
+
+
+def _close(distance: int) -> Column:
+    return F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
+
+
+def _same_key() -> Column:
+    return (F.col("x.k.part") == F.col("y.k.part")) & (F.col("x.k.key") == F.col("y.k.key"))
+
+
+def links(prints: DataFrame, distance: int) -> DataFrame:
+    """Pairs (a, b) of the distinct stored fingerprints (column print) that differ in at most ``distance`` bits."""
+    parts, rows = plan_parts(prints, distance), prints.select("print", F.col("print").alias("root"))
+    found = _probes(rows, parts).alias("x").join(_stored(rows, parts).alias("y"), _same_key() & (F.col("a") < F.col("b")) & _close(distance))
     return found.select("a", "b").distinct()
 
 
+def _merged(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` (print, root) with the roots joined by the links (ra, rb)."""
+    edges = stage(found.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "print-links")
+    roots = stage(connected_components(edges), "print-roots").select("node", F.col("root").alias("least"))
+    return stage(rows.join(roots, F.col("root") == F.col("node"), "left").select("print", F.coalesce("least", "root").alias("root")), "print-rooted")
+
+
+def rooted_prints(prints: DataFrame, distance: int) -> DataFrame:
+    """(print, root) of the distinct stored fingerprints: equal roots if links of at most ``distance`` bits connect them.
+
+    The pairs of a group of near copies grow with its square, and most of them only connect what is connected. So first up
+    to DRAWN fingerprints of each key, drawn by hash, meet all that probe the key, and what they link gets one root. The
+    drawn ones' links to other roots, times the fingerprints that each stands for, estimate the pairs of different roots
+    that were left before the round. Rounds go on, each with others drawn, until the estimate is one pair a fingerprint or
+    less. Then all pairs of different roots meet, so no link is lost.
+    """
+    parts, n, turn, left = plan_parts(prints, distance), prints.count(), 0, math.inf
+    rows = prints.select("print", F.col("print").alias("root"))
+    across = (F.col("ra") != F.col("rb")) & _close(distance)
+    while left > n:
+        order = F.xxhash64("b", F.lit(turn))
+        slots = _stored(rows, parts).groupBy("k", F.pmod(order, F.lit(DRAWN)).alias("slot"))
+        drawn = slots.agg(F.min_by(F.struct("b", "rb"), order).alias("one"), F.count(F.lit(1)).alias("n")).select("k", "one.*", "n")
+        found = stage(_probes(rows, parts).alias("x").join(drawn.alias("y"), _same_key() & across).select("ra", "rb", "n"), "print-drawn")
+        rows, left, turn = _merged(rows, found), found.agg(F.sum("n")).first()[0] or 0, turn + 1
+    pairs = _probes(rows, parts).alias("x").join(_stored(rows, parts).alias("y"), _same_key() & (F.col("a") < F.col("b")) & across)
+    return _merged(rows, pairs.select("ra", "rb"))
+
+
 def _long(x: int) -> str:
     return f"cast({x} as bigint)" if x != -(1 << 63) else "(-9223372036854775807L - 1L)"
 
@@ -186,9 +232,7 @@ def near_classes(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFram
     """
     rows = stage(fingerprints(docs, words), "prints")
     groups = stage(rows.groupBy("print").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "print-groups")
-    roots = stage(connected_components(stage(links(groups, distance), "print-links")), "print-roots")
-    rooted = groups.join(roots, F.col("print") == F.col("node"), "left").select("print", "n", "first_id", F.coalesce("root", "print").alias("root"))
-    rooted = stage(rooted, "print-rooted")
+    rooted = stage(groups.join(rooted_prints(groups, distance), "print"), "print-groups-rooted")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
     facts = stage(join_groups(rooted, stage(least, "print-components"), "root", "members").select("print", "n", "component_id"), "print-facts")
     return join_groups(rows, facts, "print", "n").select(

@@ -366,6 +366,23 @@ def test_simhash_links_at_every_distance(spark):
         assert got == {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= distance}
 
 
+def test_links_of_dense_groups_stay_few(spark, monkeypatch):
+    """Near copies are connected without all their pairs; chains and unlike fingerprints keep their components."""
+    rng, distance = random.Random(11), 6
+    centre, other = rng.getrandbits(64), rng.getrandbits(64)
+    prints = {centre ^ sum(1 << b for b in rng.sample(range(64), 3)) for _ in range(1200)}  # 6 bits apart at most
+    prints |= {other ^ ((1 << k) - 1) for k in range(0, 64, 5)} | {rng.getrandbits(64) for _ in range(100)}
+    prints = sorted(prints)
+    rng.shuffle(prints)
+    met, components = [], simhash.connected_components
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, words: docs)
+    monkeypatch.setattr(simhash, "connected_components", lambda edges: met.append(edges.count()) or components(edges))
+    docs = spark.createDataFrame([(i, simhash._signed(p)) for i, p in enumerate(prints)], "doc_id bigint, print bigint")
+    got = table(simhash.near_classes(docs, 5, distance), "doc_id", "component_id")
+    assert got == sorted(zip(range(len(prints)), brute_components(prints, range(len(prints)), distance)), key=repr)
+    assert sum(met) < (distance + 1) * simhash.DRAWN * len(prints)  # the large group has over 600,000 pairs
+
+
 def test_near_copies_go(spark, docs, empty):
     words = lambda t: re.findall("[^\x20\x09-\x0d]+", lower(t))
     sets, order = {}, {}
