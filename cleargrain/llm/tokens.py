@@ -94,8 +94,9 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.frexp(x.astype(np.float64))[1].astype(np.int64)
 
 
-# Classes of bytes for Encoder: white space, letters, digits, signs, and others, beside which no text is cut.
-_SPACE, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
+# Classes of bytes for Encoder: letters, digits, signs, and white space and others, beside which no text is cut. Text is
+# cut between classes without a common bit.
+_LETTER, _DIGIT, _SIGN, _SPACE, _OTHER = 1, 2, 4, 7, 7
 _CLASS = np.full(256, _OTHER, np.uint8)
 for _class, _bytes in ((_SPACE, b" \t\n\v\f\r"), (_DIGIT, string.digits.encode()), (_SIGN, string.punctuation.encode()), (_LETTER, string.ascii_letters.encode())):
     _CLASS[list(_bytes)] = _class
@@ -106,7 +107,7 @@ class Encoder:
 
     A vocabulary that ignores white space splits texts at it before anything else, and letters, digits and signs from each
     other. The library is therefore asked once for each distinct piece of UTF-8 text between such borders, many pieces at a
-    time, and the answers are remembered. Texts with characters beyond U+023F (marks that compose, other scripts) or
+    time, and the answers are remembered; pieces that differ in the case of A-Z are one if the vocabulary ignores it. Texts with characters beyond U+023F (marks that compose, other scripts) or
     special tokens are encoded whole, and so are all texts if the vocabulary does not split like that.
     """
 
@@ -118,6 +119,7 @@ class Encoder:
         self.end, self.known = np.uint32(end_id).tobytes(), {}
         probe = "a b\nc9\td,  e's"
         self.splits = self._ids(probe) == b"".join(map(self._ids, ["a", "b", "c", "9", "d", ",", "e", "'s"]))
+        self.lowers = all(self._ids(x) == self._ids(x.lower()) for x in (string.ascii_uppercase, " ".join(string.ascii_uppercase)))
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -133,8 +135,7 @@ class Encoder:
             kind[:-1][lead] = np.where((text[1:][lead] == 0x97) | (text[1:][lead] == 0xB7), _OTHER, _LETTER)
             kind[1:][lead] = kind[:-1][lead]
         here, there = kind[:-1], kind[1:]
-        border = (here != there) & (here != _SPACE) & (there != _SPACE) & (here != _OTHER) & (there != _OTHER) & (text[:-1] != 0x27)
-        cuts = np.flatnonzero(border) + 1
+        cuts = np.flatnonzero(((here & there) == 0) & (text[:-1] != 0x27)) + 1
         out = np.full(len(text) + len(cuts), 0x20, np.uint8)
         inside = np.ones(len(out), bool)
         inside[cuts + np.arange(len(cuts))] = False
@@ -158,7 +159,7 @@ class Encoder:
             return self._ids(text) + self.end
         if len(known) > CACHED:
             known.clear()
-        pieces = self._pieces(data)
+        pieces = self._pieces(data.lower() if self.lowers else data)  # bytes: A-Z only
         ids = list(map(known.get, pieces))
         if None in ids:
             gaps = [i for i, x in enumerate(ids) if x is None]

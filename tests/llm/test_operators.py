@@ -68,6 +68,14 @@ def test_blocks_hold_any_ids():
         assert tokens.unpack(packed, 1, 2).tolist() == ids[tokens.BLOCK : 2 * tokens.BLOCK]
 
 
+def test_encoder_learns_each_spelling_once():
+    encode = tokens.Encoder(queries.tokenizer_path(), 2)
+    for text in ("The the THE tHe", "DON'T don't Don'T", "A1b2 \u00c9T\u00c9 \u00e9t\u00c9 X\u00d7Y", "<|ENDOFTEXT|> The", "\u0130I \u01c4 \u03a3A\u03a3", "Q.E.D.,\tIT'S"):
+        ids = encode.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encode(text), "<u4").tolist() == [*ids, 2]
+    assert b"the" in encode.known and not any(p != p.lower() for p in encode.known)
+
+
 def test_token_digests(docs, empty):
     from tokenizers import Tokenizer
 
