@@ -54,9 +54,15 @@ def _count(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, characters, ""))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line has words and fails one of the three rules."""
-    n_words, n_chars = F.size(words(line)), F.length(F.regexp_replace(line, SPACE + "+", ""))
+def _measured(line: Column) -> Column:
+    """A line with its numbers of words and of characters in words; lambdas would work these out again at every use."""
+    n_chars = F.length(F.regexp_replace(line, SPACE + "+", ""))
+    return F.struct(line.alias("line"), F.size(words(line)).alias("n_words"), n_chars.alias("n_chars"))
+
+
+def line_fails(measured: Column) -> Column:
+    """Whether a measured line has words and fails one of the three rules."""
+    line, n_words, n_chars = (measured[c] for c in ("line", "n_words", "n_chars"))
     separators = _count(line, SEPARATORS)
     open_end = (n_words < SHORT_LINE) & ~line.rlike(CLOSED)
     symbols = 100 * _count(line, SYMBOLS) > SYMBOL_PERCENT * n_chars
@@ -89,25 +95,29 @@ def _facts(docs: DataFrame, text: str, name: str) -> DataFrame:
 
     t, w, lines, bad, windows, at = (fresh(x) for x in ("__t", "__w", "__lines", "__bad", "__windows", "__at"))
     rows = docs.select(*columns, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(t))
-    rows = rows.select(*columns, t, words(F.col(t)).alias(w), F.split(t, "\n", -1).alias(lines))
+    rows = rows.select(*columns, t, words(F.col(t)).alias(w), F.transform(F.split(t, "\n", -1), _measured).alias(lines))
     rows = rows.select(*columns, t, w, lines, F.transform(lines, line_fails).alias(bad), _repeated_words(w).alias(windows))
     twin = f"coalesce(get({windows}, j - 1).x = v.x, false) or coalesce(get({windows}, j + 1).x = v.x, false)"
     rows = rows.select(*columns, t, w, lines, bad, F.expr(f"sort_array(transform(filter({windows}, (v, j) -> {twin}), v -> v.i))").alias(at))
     gone = F.filter(lines, lambda line, i: F.get(bad, i))
-    spoken = F.filter(lines, lambda line: F.length(F.regexp_replace(line, SPACE + "+", "")) > 0)
+    spoken = F.filter(lines, lambda line: line["n_chars"] > 0)["line"]
+
+    def chars(measured: Column | str) -> Column:
+        return F.aggregate(measured, F.lit(0).cast("bigint"), lambda n, line: n + line["n_chars"])
+
     n_repeat = F.expr(
         f"aggregate({at}, named_struct('n', 0L, 'last', -{REPEAT_WINDOW}), (a, i) -> "
         f"named_struct('n', a.n + least({REPEAT_WINDOW}, i - a.last), 'last', i), a -> a.n)"
     )
     facts = F.struct(
         F.size(w).cast("bigint").alias("n_words"),
-        F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
+        chars(lines).alias("word_chars"),
         _count(F.col(t), SYMBOLS).cast("bigint").alias("n_symbols"),
         (F.size(spoken) - F.size(F.array_distinct(spoken))).cast("bigint").alias("n_dup_lines"),
         n_repeat.alias("n_repeat_words"),
         F.size(gone).cast("bigint").alias("n_failed_lines"),
-        F.length(F.regexp_replace(F.array_join(gone, ""), SPACE + "+", "")).cast("bigint").alias("lost_chars"),
-        F.array_join(F.filter(lines, lambda line, i: ~F.get(bad, i)), "\n").alias("cleaned"),
+        chars(gone).alias("lost_chars"),
+        F.array_join(F.filter(lines, lambda line, i: ~F.get(bad, i))["line"], "\n").alias("cleaned"),
     )
     # a generated column: filters on it stay above, where they would else repeat the work on arrays for every element
     return rows.select(*columns, F.explode(F.array(facts)).alias(name))

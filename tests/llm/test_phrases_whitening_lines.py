@@ -227,3 +227,10 @@ def test_hash_of_cleaned_text(spark):
 
     out = queries.op13_line_quality(spark, "/root/testdata/sf0.001").first()
     assert len(out.cleaned_sha256) == len(hashlib.sha256(b"").hexdigest())
+
+
+def test_lines_are_measured_once(spark):
+    """The words of a line are split once, not at every rule that asks for their number."""
+    docs = spark.createDataFrame([(1, "a b\nc")], "doc_id bigint, text string")
+    plan = line_quality.judge(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 3  # words of the text, lines, words of a line
