@@ -269,6 +269,63 @@ def test_passages_with_other_words_between(spark):
     assert all(r.alike >= 0.8 and min(r.end_word - r.start_word, r.other_end - r.other_start) >= 40 for r in found)
 
 
+def passages_of_all_pairs(rows):
+    """Passages of every document with every earlier one, from all places of all common seeds, without those in better ones."""
+    texts = [t.encode() for _, t in rows]
+    hashes, owner = passages.word_hashes(texts)
+    words = [hashes[owner == i].tolist() for i in range(len(rows))]
+    places = [defaultdict(list) for _ in rows]
+    for h, d, at in zip(*(x.tolist() for x in passages.seeds(texts))):
+        places[d][h].append(at)
+    out = set()
+    for b, (kb, _) in enumerate(rows):
+        found = []
+        for a, (ka, _) in enumerate(rows[:b]):
+            anchors = [(x, y) for h in places[a] if h in places[b] for x in places[a][h] for y in places[b][h]]
+            for a0, a1, b0, b1, _ in passages.chain(np.array(anchors)) if anchors else ():
+                i, j = max(0, a0 - passages.MARGIN), max(0, b0 - passages.MARGIN)
+                own = words[a][i : a1 + passages.MARGIN], words[b][j : b1 + passages.MARGIN]
+                for p0, p1, q0, q1, paired in passages.align(*own, a0 - i, a1 - i, b0 - j, b1 - j):
+                    found.append((-paired, -ka, q0 + j, p0 + i, q1 + j, p1 + i))
+        covered = set()
+        for paired, other, q0, p0, q1, p1 in sorted(found):
+            if len({*range(q0, q1)} - covered) >= passages.SEED_WORDS:
+                covered.update(range(q0, q1))
+                out.add((kb, q0, q1, -other, p0, p1, -paired / max(q1 - q0, p1 - p0)))
+    return sorted(out)
+
+
+def test_passages_of_frequent_lines_as_brute_force(spark):
+    """A passage of lines that many other documents quote singly, before, between and after its copies."""
+    lines = [prose(f"line{i}", 22) for i in range(4)]
+    rows, n = [], 2 * passages.FREQUENT
+    for i in range(n):
+        rows += [(10 * i + j, f"{prose(f'p{i}{j}', 25)} {line} {prose(f'q{i}{j}', 25)}") for j, line in enumerate(lines)]
+    rows += [(10 * i + 5, f"{prose(f's{i}', 15)} {lines[0]} {lines[1]} {prose(f't{i}', 15)}") for i in (1, n // 2, n - 1)]
+    rows += [(10 * i + 6, f"{prose(f'u{i}', 15)} {lines[2]} new {lines[3]} {lines[0]} {prose(f'v{i}', 15)}") for i in (0, n // 2)]
+    rows += [(10 * i + 7, prose("near", 70).replace(f"word{i:03d}", "edited") + f" end{i}") for i in range(n)]
+    rows += [(10 * i + 8, f"{prose(f'w{i}', 20)} {prose('few', 55)}") for i in range(5)]
+    rows.sort()
+    columns = ["doc_id", "start_word", "end_word", "other_id", "other_start", "other_end", "alike"]
+    want = sorted(passages_of_all_pairs(rows), key=repr)
+    assert {10 * (n // 2) + 5, 10 * (n - 1) + 5, 10 * (n // 2) + 6} <= {r[0] for r in want}
+    for n_partitions in (1, 7):
+        assert table(passages.shared_passages(frame(spark, rows).repartition(n_partitions)), *columns) == want
+
+
+def test_links_of_repeated_words(spark):
+    rows = [(i, f"{prose(f'l{i}', 20)} {'again ' * (40 + i)} {prose(f'r{i}', 20)}") for i in range(2 * passages.FREQUENT)]
+    found = passages.shared_passages(frame(spark, rows)).collect()
+    assert {r.doc_id for r in found} == {*range(1, len(rows))}
+    assert all(len(set(range(20, 60 + i)) - words_covered(found, i)) <= 1 for i in range(1, len(rows)))
+
+
+def test_later_copies_of_a_text(spark):
+    rows = [(5, PASSAGE), (3, PASSAGE), (3, PASSAGE), (None, "short"), (9, "short"), (9, PASSAGE), (12, PASSAGE + " " + prose("c", 9))]
+    found = table(passages.shared_passages(frame(spark, rows)), "doc_id", "start_word", "end_word", "other_id")
+    assert found == [(12, 0, 80, 3), (5, 0, 80, 3), (9, 0, 80, 3)]
+
+
 def test_common_words_as_brute_force():
     def longest(a, b):
         row = [0] * (len(b) + 1)
