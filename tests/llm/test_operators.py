@@ -282,7 +282,7 @@ def passages_of_all_pairs(rows):
         found = []
         for a, (ka, _) in enumerate(rows[:b]):
             anchors = [(x, y) for h in places[a] if h in places[b] for x in places[a][h] for y in places[b][h]]
-            for a0, a1, b0, b1, _ in passages.chain(np.array(anchors)) if anchors else ():
+            for a0, a1, b0, b1, _ in passages.chain(anchors):
                 i, j = max(0, a0 - passages.MARGIN), max(0, b0 - passages.MARGIN)
                 own = words[a][i : a1 + passages.MARGIN], words[b][j : b1 + passages.MARGIN]
                 for p0, p1, q0, q1, paired in passages.align(*own, a0 - i, a1 - i, b0 - j, b1 - j):
@@ -326,6 +326,13 @@ def test_later_copies_of_a_text(spark):
     assert found == [(12, 0, 80, 3), (5, 0, 80, 3), (9, 0, 80, 3)]
 
 
+def test_length_of_common_words():
+    draw = random.Random(2)
+    for _ in range(300):
+        a, b = ([draw.randrange(9) for _ in range(draw.randrange(90))] for _ in (0, 1))
+        assert passages.common_length(a, b) == len(passages.common_words(a, b))
+
+
 def test_common_words_as_brute_force():
     def longest(a, b):
         row = [0] * (len(b) + 1)
