@@ -313,6 +313,40 @@ def test_passages_of_frequent_lines_as_brute_force(spark):
         assert table(passages.shared_passages(frame(spark, rows).repartition(n_partitions)), *columns) == want
 
 
+def test_segments_go_to_few_families_of_seeds(spark):
+    """Near copies of a long text, some with a line of others: sent a few times, not once for each of 200 seeds."""
+    draw, rows, segments = random.Random(3), [], {}
+    for i in range(80):
+        key = [1000 + j for j in range(200) if draw.random() > 0.02] + ([7, 8, 9] if i % 2 else [])
+        key = [7, 8, 9] if i % 5 == 0 else key
+        segments[i] = set(key)
+        rows.append((i, 5, np.array(key, "<i8").tobytes(), np.arange(0, 3 * len(key), 3, "<u4").tobytes()))
+    many = spark.createDataFrame(rows, "k bigint, text_key bigint, keys binary, at binary")
+    found = {r.k: {p.family for p in r.places} for r in passages.families(many).collect()}
+    assert max(map(len, found.values())) <= 3
+    assert all(found[i] & found[j] for i in found for j in found if segments[i] & segments[j])
+
+
+def test_likely_ranges_as_brute_force():
+    draw = random.Random(1)
+    for _ in range(100):
+        share = draw.choice([0.3, 0.7, 0.8, 0.9])
+        known = [draw.random() < share for _ in range(draw.randrange(110))]
+        want = set()
+        for lo in range(len(known)):
+            for hi in range(lo + passages.LEAST_WORDS, len(known) + 1):
+                if sum(known[lo:hi]) >= passages.LEAST_ALIKE * (hi - lo):
+                    want.update(range(lo, hi))
+        assert {i for r in passages.likely_ranges(np.array(known, bool)) for i in range(*r)} == want
+
+
+def test_scores_of_anchors_in_step():
+    draw = random.Random(4)
+    for _ in range(200):
+        xy = [*zip(*(sorted(draw.sample(range(400), 25)) for _ in "ab"))]
+        assert passages._scores_in_step(xy) == passages._scores(xy)
+
+
 def test_links_of_repeated_words(spark):
     rows = [(i, f"{prose(f'l{i}', 20)} {'again ' * (40 + i)} {prose(f'r{i}', 20)}") for i in range(2 * passages.FREQUENT)]
     found = passages.shared_passages(frame(spark, rows)).collect()
