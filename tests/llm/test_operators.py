@@ -7,8 +7,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from cleargrain.llm import decontaminate, digests, licences, mixing, passages, queries, shards, simhash, suffixes, tokens, toxicity
@@ -327,6 +329,35 @@ def test_segments_go_to_few_families_of_seeds(spark):
     assert all(found[i] & found[j] for i in found for j in found if segments[i] & segments[j])
 
 
+def test_texts_and_segments_too_short_for_a_passage_are_not_sent():
+    texts = [prose(f"t{n}", n).encode() for n in (passages.LEAST_WORDS - 1, passages.LEAST_WORDS)]
+    z = [zstandard.ZstdCompressor().compress(t) for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([5, 5]), pa.array(z, pa.binary())], ["k", "text_key", "z"])
+    sent = [r for b in passages._send_seeds(1)(iter([batch])) for r in b.to_pylist()]
+    assert [np.frombuffer(r["ids"], np.int64).tolist() for r in sent] == [[2, 5, passages.LEAST_WORDS]]
+    for last, words, found in ((18, 100, 0), (19, 100, 1), (19, 39, 0)):
+        assert len(passages.segments(np.array([0, 4, 9, last]), words)) == found
+
+
+def test_equal_passages_in_one_document_of_frequent_seeds_as_brute_force(spark):
+    """Of a line that a document has twice, far apart, the first place counts; texts of a few words have the line's seeds too."""
+    line, n = prose("line", 45), 2 * passages.FREQUENT
+    rows = [(i, f"{prose(f'p{i}', 20)} {line} {prose(f'q{i}', 20)}") for i in range(n)]
+    rows += [(n + i, " ".join(line.split()[: 30 + i])) for i in range(5)]
+    rows += [(2 * n, f"{prose('x', 9)} {line} {prose('y', 400)} {line} {prose('z', 9)}"), (2 * n + 1, f"{prose('v', 9)} {line} {prose('w', 9)}")]
+    columns = ["doc_id", "start_word", "end_word", "other_id", "other_start", "other_end", "alike"]
+    want = sorted(passages_of_all_pairs(rows), key=repr)
+    assert (2 * n + 1, 9, 54, 2 * n, 9, 54, 1.0) in want
+    assert table(passages.shared_passages(frame(spark, rows)), *columns) == want
+
+
+def test_any_likely_range():
+    draw = random.Random(5)
+    for _ in range(300):
+        known = np.array([draw.random() < draw.choice([0.5, 0.8, 0.9]) for _ in range(draw.randrange(30, 110))], bool)
+        assert passages.any_likely(known) == bool(passages.likely_ranges(known))
+
+
 def test_likely_ranges_as_brute_force():
     draw = random.Random(1)
     for _ in range(100):
