@@ -175,6 +175,11 @@ def _probes(rows: DataFrame, parts: list[Part]) -> DataFrame:
     )
 
 
+def _shuffled(probes: DataFrame) -> DataFrame:
+    """Probes whose join is shuffled: Spark takes exploded rows to be as small as the rows before, and would broadcast them."""
+    return probes.hint("merge")
+
+
 def _close(distance: int) -> Column:
     return F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
 
@@ -186,7 +191,7 @@ def _same_key() -> Column:
 def links(prints: DataFrame, distance: int) -> DataFrame:
     """Pairs (a, b) of the distinct stored fingerprints (column print) that differ in at most ``distance`` bits."""
     parts, rows = plan_parts(prints, distance), prints.select("print", F.col("print").alias("root"))
-    found = _probes(rows, parts).alias("x").join(_stored(rows, parts).alias("y"), _same_key() & (F.col("a") < F.col("b")) & _close(distance))
+    found = _shuffled(_probes(rows, parts)).alias("x").join(_stored(rows, parts).alias("y"), _same_key() & (F.col("a") < F.col("b")) & _close(distance))
     return found.select("a", "b").distinct()
 
 
@@ -213,9 +218,9 @@ def rooted_prints(prints: DataFrame, distance: int) -> DataFrame:
         order = F.xxhash64("b", F.lit(turn))
         slots = _stored(rows, parts).groupBy("k", F.pmod(order, F.lit(DRAWN)).alias("slot"))
         drawn = slots.agg(F.min_by(F.struct("b", "rb"), order).alias("one"), F.count(F.lit(1)).alias("n")).select("k", "one.*", "n")
-        found = stage(_probes(rows, parts).alias("x").join(drawn.alias("y"), _same_key() & across).select("ra", "rb", "n"), "print-drawn")
+        found = stage(_shuffled(_probes(rows, parts)).alias("x").join(drawn.alias("y"), _same_key() & across).select("ra", "rb", "n"), "print-drawn")
         rows, left, turn = _merged(rows, found), found.agg(F.sum("n")).first()[0] or 0, turn + 1
-    pairs = _probes(rows, parts).alias("x").join(_stored(rows, parts).alias("y"), _same_key() & (F.col("a") < F.col("b")) & across)
+    pairs = _shuffled(_probes(rows, parts)).alias("x").join(_stored(rows, parts).alias("y"), _same_key() & (F.col("a") < F.col("b")) & across)
     return _merged(rows, pairs.select("ra", "rb"))
 
 
