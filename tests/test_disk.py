@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cleargrain import session
-from cleargrain.operators import keyed
+from cleargrain.operators import features, keyed
 from cleargrain.operators.classify import classify
 from cleargrain.operators.rules.table import RuleOptions
 from cleargrain.session import keep, scratch, settled, stage
@@ -78,3 +78,19 @@ def test_rules_agree_when_all_facts_are_shuffled(frame, monkeypatch):
     small = sorted(map(tuple, classify(df, options=OPTIONS).collect()))
     monkeypatch.setattr(session, "BROADCAST_LIMIT_BYTES", 0)
     assert sorted(map(tuple, classify(df, options=OPTIONS).collect())) == small
+
+
+def test_labels_travel_with_their_rows(frame, spark):
+    df = frame("price double, quantity double, category string, label string", [(1.0, 2.0, "a", None), (3.0, 1.0, None, "x"), (2.0, 5.0, "b", "y")])
+    label = (F.col("price") > 1).cast("int")
+    table, names, _ = features.labelled_features(df, label)
+    plain, expected, _ = features.training_features(df)
+    assert names == expected and "label_is_missing" in names and "__label" not in names
+    assert "Join" not in plan(stage(table.select("row_id", "label", "price_value")))
+    assert {r.row_id: r.label for r in table.collect()} == {0: 0, 1: 1, 2: 1}
+    # as the join of both tables on row_id where ids repeat or are missing
+    odd = df.withColumn("row_id", F.when(F.col("row_id") < 2, 7).cast("bigint")).unionByName(df)
+    table, names, _ = features.labelled_features(odd, label)
+    joined = features.training_features(odd)[0].join(odd.select("row_id", label.alias("label")), "row_id")
+    assert sorted(map(tuple, table.select("row_id", "label", *names).collect())) == sorted(map(tuple, joined.select("row_id", "label", *names).collect()))
+    assert table.count() == 7
