@@ -11,6 +11,7 @@ from cleargrain import session
 from cleargrain.operators import features, keyed
 from cleargrain.operators.classify import classify
 from cleargrain.operators.rules.table import RuleOptions
+from cleargrain.plans import files
 from cleargrain.session import keep, scratch, settled, stage
 
 OPTIONS = RuleOptions(as_of=dt.datetime(2024, 6, 1))
@@ -94,3 +95,21 @@ def test_labels_travel_with_their_rows(frame, spark):
     joined = features.training_features(odd)[0].join(odd.select("row_id", label.alias("label")), "row_id")
     assert sorted(map(tuple, table.select("row_id", "label", *names).collect())) == sorted(map(tuple, joined.select("row_id", "label", *names).collect()))
     assert table.count() == 7
+
+
+def test_single_files_are_written_from_stored_rows(spark, tmp_path, monkeypatch):
+    spark.range(40).select(
+        F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), (F.col("id") * 3).alias("l_partkey"), (F.col("id") % 6).alias("l_suppkey"),
+        F.lit(9.5).alias("l_extendedprice"), F.lit(2.0).alias("l_quantity"), F.lit(0.05).alias("l_discount"), F.lit(dt.datetime(1995, 1, 2)).alias("l_shipdate"),
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(40).select(F.col("id").alias("o_orderkey"), F.lit(dt.datetime(1995, 1, 1)).alias("o_orderdate"), F.col("id").alias("o_custkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    seen, write = [], files._write
+
+    def watched(rows, *args):
+        seen.append(plan(rows))
+        write(rows, *args)
+
+    monkeypatch.setattr(files, "_write", watched)
+    stats = files.training_file_stats(spark, str(tmp_path)).collect()
+    assert len(seen) == 3 and not [p for p in seen if "Join" in p]
+    assert sum(r.rows for r in stats) == 40 and {r.columns for r in stats} == {3}
